@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from . import fingerprint, mixing
+from . import fingerprint, jaccard, mixing, packing
 
 QUERIES = {
+    "op2_ngram_jaccard": jaccard.query,
     "op3_source_mix": mixing.query,
     "op4_fingerprint": fingerprint.query,
+    "op10_best_fit": packing.query,
 }
 ORACLES = {"op3_source_mix": mixing.ORACLE}
