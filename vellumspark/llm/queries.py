@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import fingerprint, jaccard, mixing, packing
+from . import ann, fingerprint, jaccard, mixing, packing
 
 QUERIES = {
+    "op1_ann": ann.query,
     "op2_ngram_jaccard": jaccard.query,
     "op3_source_mix": mixing.query,
     "op4_fingerprint": fingerprint.query,
