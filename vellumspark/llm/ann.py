@@ -20,6 +20,8 @@ FIT_ROWS = 10_000
 ROWS, QUERIES = 16_384, 4_096
 #: Rows that are reranked exactly for each query, over all blocks, and of each block at least.
 RERANK, RERANK_BLOCK = 512, 64
+#: Further rows are reranked down to the k-th best exact score less so many times the root mean square error of the tables.
+MARGIN = 2.0
 #: Inner products over this share of a vector's norm are what the quantiser is to keep right.
 THRESHOLD = 0.2
 
@@ -119,6 +121,14 @@ def scan(book: Codebooks, q: np.ndarray, qid: np.ndarray, x: np.ndarray, ids: np
                 best = np.arange(len(s))
             best = best[ids[best] != qid[a + i]]
             exact = (x[best] * q[a + i]).sum(1)
+            if len(s) > rerank and len(best) > k:
+                # rows that the tables' error may have kept out: many rows can be about as near as the k-th
+                least = np.partition(exact, len(exact) - k)[len(exact) - k]
+                margin = MARGIN * np.sqrt(np.mean((s[best] - exact) ** 2))
+                s[best] = -np.inf
+                more = np.flatnonzero(s >= least - margin)
+                best = np.concatenate([best, more])
+                exact = np.concatenate([exact, (x[more] * q[a + i]).sum(1)])
             order = np.lexsort((ids[best], -exact))[:k]
             yield a + i, best[order], exact[order]
 
@@ -138,7 +148,7 @@ def search(vectors: DataFrame, k: int = 20, every: int = 20, rerank: int = RERAN
     Method: codebooks of sixteen words per pair of dimensions are fitted on a sample of FIT_ROWS rows by the anisotropic
     loss, in which error along the vector costs more than error across it. Every row is encoded in four bits a pair. Blocks
     of queries meet blocks of rows; there a query's tables give each row's approximate inner product, the best rows, `rerank` over all blocks
-    and RERANK_BLOCK of each at least, are compared exactly, in double precision on the original vectors, and the best k of all blocks are kept.
+    and RERANK_BLOCK of each at least, and those within MARGIN errors of the k-th best, are compared exactly, in double precision on the original vectors, and the best k of all blocks are kept.
 
     Ties go to the smaller vec_id. Vectors null, empty, zero, with null, NaN or infinite components, or of another length
     than most, take no part; nor do null ids. Rows with the query's own id aren't its candidates; other repeated ids are
