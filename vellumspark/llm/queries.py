@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
-from . import ann, fingerprint, jaccard, mixing, packing
+from . import ann, fingerprint, jaccard, language, linededup, mixing, packing, pseudonyms, quality, toxicity
 
 QUERIES = {
     "op1_ann": ann.query,
     "op2_ngram_jaccard": jaccard.query,
     "op3_source_mix": mixing.query,
     "op4_fingerprint": fingerprint.query,
+    "op5_toxicity": toxicity.query,
+    "op6_quality": quality.query,
+    "op7_language": language.query,
+    "op8_pseudonyms": pseudonyms.query,
+    "op9_line_dedup": linededup.query,
     "op10_best_fit": packing.query,
 }
 ORACLES = {"op3_source_mix": mixing.ORACLE}
