@@ -15,13 +15,13 @@ RANGES = 256
 
 
 def canonical(text: Column) -> Column:
-    """NFKC, full case folding (upper, then lower), every run of Unicode white space one space, none at the ends.
+    """NFKC, case folding (upper, then lower, sharp s as ss, one sigma), every run of Unicode white space one space, none at the ends.
 
     Texts of ASCII alone skip the normaliser. It is the one of ICU, which Spark brings; Spark SQL has no function for it.
     """
     fold = F.lower(F.upper(text))
     nfkc = lambda x: F.reflect(F.lit("com.ibm.icu.text.Normalizer"), F.lit("compose"), x, F.lit(True))
-    other = nfkc(F.lower(F.upper(nfkc(text))))
+    other = nfkc(F.translate(F.replace(F.lower(F.upper(nfkc(text))), F.lit("ß"), F.lit("ss")), "ς", "σ"))
     full = F.when(text.rlike(r"[^\x00-\x7F]"), other).otherwise(fold)
     return F.trim(F.regexp_replace(full, r"[\s\x1C-\x1F\x85\p{Z}]+", " "))
 

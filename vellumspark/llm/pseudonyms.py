@@ -171,7 +171,7 @@ KINDS: list[tuple[str, str, Callable[[str, bytes], str | None]]] = [
     ("date", r"(?<![\w./-])(?:\d{4}-\d\d-\d\d|\d{4}/\d\d/\d\d|\d{4}\.\d\d\.\d\d|\d\d?-\d\d?-\d{4}|\d\d?/\d\d?/\d{4}|\d\d?\.\d\d?\.\d{4})(?![\w/-])", date),
     ("ssn", r"(?<![\w-])\d{3}-\d\d-\d{4}(?![\w-])", ssn),
     ("card", r"(?<![\w-])\d(?:[ -]?\d){12,18}(?![\w-])", card),
-    ("phone", r"(?<![\w+])(?:\+\d{1,3}[ .-]?(?:\(\d{2,4}\)[ .-]?)?\d{2,4}(?:[ .-]?\d{2,4}){1,4}|\(\d{3}\)[ .-]?\d{3}[ .-]?\d{4}|\d{3}[.-]\d{3}[.-]\d{4})(?![\w])", phone),
+    ("phone", r"(?<![\w+])(?:\+\d{1,3}[ .-]?\(\d{2,4}\)[ .-]?\d{3,4}[ .-]?\d{3,4}|\+\d{1,3}(?:[ .-]?\d{2,4}){2,4}|\(\d{3}\)[ .-]?\d{3}[ .-]?\d{4}|\d{3}[.-]\d{3}[.-]\d{4})(?![\w])", phone),
 ]
 PATTERN = re.compile("|".join(f"(?P<{k}>{p})" for k, p, _ in KINDS), re.ASCII)
 MAKE = {k: f for k, _, f in KINDS}
@@ -185,13 +185,15 @@ def pseudonymise(text: str, key: bytes) -> tuple[str, list[tuple[str, int, int]]
         return text, []
     out: list[str] = []
     found = []
-    at = 0
-    for m in PATTERN.finditer(text):
+    at = look = 0
+    while (m := PATTERN.search(text, look)) is not None:
         new = MAKE[m.lastgroup](m[0], key)
-        if new is not None:
-            out += [text[at : m.start()], new]
-            at = m.end()
-            found.append((m.lastgroup, m.start(), at))
+        if new is None:  # a value may begin inside what wasn't one
+            look = m.start() + 1
+            continue
+        out += [text[at : m.start()], new]
+        at = look = m.end()
+        found.append((m.lastgroup, m.start(), at))
     return "".join([*out, text[at:]]) if found else text, found
 
 
