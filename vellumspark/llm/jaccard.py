@@ -7,6 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import components, join_bounded, keep, read, small_batches
@@ -52,7 +53,7 @@ def count_frequent(docs: DataFrame, words_each: int) -> dict[int, int]:
 def signatures(docs: DataFrame, words_each: int, percent: int, frequent: dict[int, int]) -> DataFrame:
     """doc_id, n, and of each document's set: two digests and its prefix under each order."""
     known = np.array(sorted(frequent), SIGNED)
-    weight = np.array([frequent[int(k)] for k in known], np.int64)
+    weight = np.array([min(frequent[int(k)], 65_535) for k in known], U)
     known = known.view(U)
     by_value = np.argsort(known)
     known, weight = known[by_value], weight[by_value]
@@ -66,24 +67,30 @@ def signatures(docs: DataFrame, words_each: int, percent: int, frequent: dict[in
                 _, _, row, h = words(data, at)
                 x, off = shingles(h, row, j - i, words_each)
                 n = np.diff(off)
-                owner = np.repeat(np.arange(j - i), n)
-                rare = np.zeros(len(x), np.int64)
+                rare = np.zeros(len(x), U)
                 if len(known) and len(x):
                     k = np.minimum(np.searchsorted(known, x), len(known) - 1)
-                    rare = np.where(known[k] == x, weight[k], 0)
+                    rare = np.where(known[k] == x, weight[k], U(0))
                 out = [ids.slice(i, j - i), pa.array(n)]
                 for seed in (11, 13):
                     s = np.concatenate([[U(0)], np.cumsum(mix(x + U(seed)))])
                     out.append(pa.array(mix(s[off[1:]] - s[off[:-1]]).view(SIGNED)))
                 most = np.where(n > 0, n - -(-percent * n // 100) + 1, 0)
                 ends = np.concatenate([[0], np.cumsum(most)]).astype(np.int32)
-                for seed in ORDERS:
-                    order = np.lexsort((mix(x ^ U(seed * 0x9E3779B1)), rare, owner))
-                    first = (np.arange(len(x)) - off[:-1][owner]) < most[owner]
-                    out.append(pa.ListArray.from_arrays(pa.array(ends), pa.array(x[order][first].view(SIGNED))))
+                for k, seed in enumerate(ORDERS):
+                    # frequent shingles last, by count; the others, and equal counts, by a hash
+                    order = rare << U(48) | mix(x ^ U(seed * 0x9E3779B1)) >> U(16)
+                    head = np.empty(ends[-1], U)
+                    for r in np.flatnonzero(n):
+                        own, m = order[off[r] : off[r + 1]], most[r]
+                        first = np.argpartition(own, m - 1)[:m] if m < len(own) else np.arange(m)
+                        head[ends[r] : ends[r + 1]] = x[off[r] : off[r + 1]][first[np.argsort(own[first])]]
+                    head = head.view(SIGNED)
+                    # confirming needs no more than 16 bits: a false meeting only costs a comparison
+                    out.append(pa.ListArray.from_arrays(pa.array(ends), pa.array(head.astype(np.int16) if k else head)))
                 yield pa.RecordBatch.from_arrays(out, names=["doc_id", "n", "s1", "s2", "p0", "p1", "p2"])
 
-    return docs.select("doc_id", "text").mapInArrow(sign, "doc_id long, n long, s1 long, s2 long, p0 array<long>, p1 array<long>, p2 array<long>")
+    return docs.select("doc_id", "text").mapInArrow(sign, "doc_id long, n long, s1 long, s2 long, p0 array<long>, p1 array<short>, p2 array<short>")
 
 
 def sets_of(docs: DataFrame, nodes: DataFrame, words_each: int) -> DataFrame:
@@ -102,34 +109,94 @@ def sets_of(docs: DataFrame, nodes: DataFrame, words_each: int) -> DataFrame:
     return chosen.mapInArrow(gather, "node long, grams binary")
 
 
-def linked(docs: DataFrame, pairs: DataFrame, words_each: int, percent: int) -> DataFrame:
-    """Of pairs(a, b), those whose whole sets are alike enough."""
+def tallies(docs: DataFrame, nodes: DataFrame, words_each: int) -> DataFrame:
+    """node, n, tally binary: how many shingles fall in each of as many slots as the next power of two over n; a byte each."""
+
+    def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            ids = b.column("doc_id")
+            for i, j, data, at in blocks(b.column("text")):
+                _, _, row, h = words(data, at)
+                x, off = shingles(h, row, j - i, words_each)
+                n = np.diff(off)
+                out = []
+                for a, z in zip(off[:-1], off[1:]):
+                    slots = 1 << int(z - a).bit_length()
+                    t = np.bincount((x[a:z] & U(slots - 1)).astype(np.int64), minlength=slots)
+                    out.append(t.astype(np.uint8).tobytes() if t.max(initial=0) < 256 else None)
+                yield pa.RecordBatch.from_arrays([ids.slice(i, j - i), pa.array(n), pa.array(out, pa.binary())], names=["node", "n", "tally"])
+
+    chosen = join_bounded(docs.select("doc_id", "text"), nodes.select(F.col("node").alias("doc_id")), ["doc_id"], "left_semi")
+    return chosen.mapInArrow(tally, "node long, n long, tally binary")
+
+
+def plausible(docs: DataFrame, pairs: DataFrame, words_each: int, percent: int) -> DataFrame:
+    """pairs(a, b) whose tallies allow enough common shingles: slot by slot, no more than the smaller tally are common."""
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             good = []
+            for x, y, n, m in zip(*(batch.column(c) for c in ("x", "y", "n", "m"))):
+                n, m = n.as_py(), m.as_py()
+                if x.is_valid and y.is_valid:
+                    x, y = sorted((np.frombuffer(x.as_py(), np.uint8).astype(np.int64), np.frombuffer(y.as_py(), np.uint8).astype(np.int64)), key=len)
+                    both = int(np.minimum(x, y.reshape(-1, len(x)).sum(0)).sum())
+                else:
+                    both = min(n, m)
+                good.append(100 * both >= percent * (n + m - both))
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(good, pa.bool_()))
+
+    pairs = keep(pairs, "confirmed")
+    nodes = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
+    t = keep(tallies(docs, nodes, words_each), "tallies")
+    rows = pairs.join(t.select(F.col("node").alias("a"), "n", F.col("tally").alias("x")), "a").join(t.select(F.col("node").alias("b"), F.col("n").alias("m"), F.col("tally").alias("y")), "b")
+    return rows.select("a", "b", "x", "y", "n", "m").mapInArrow(check, "a long, b long")
+
+
+def compared(docs: DataFrame, pairs: DataFrame, words_each: int, percent: int, differ: bool = False) -> DataFrame:
+    """pairs(a, b) that are linked, by their whole sets.
+
+    With differ: all pairs, with linked, b's size n, d, the number of shingles that only one of the two has, and of these
+    the first by a hash, as many as two sets that are alike must meet in if they are compared by what sets them apart from a.
+    """
+
+    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            good, apart, sizes = [], [], []
             for x, y in zip(batch.column("x"), batch.column("y")):
                 x, y = np.frombuffer(x.as_py(), U), np.frombuffer(y.as_py(), U)
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                good.append(100 * both >= percent * (len(x) + len(y) - both) and both > 0)
-            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(good, pa.bool_()))
+                rest = np.setxor1d(x, y, assume_unique=True)
+                both = (len(x) + len(y) - len(rest)) // 2
+                good.append(100 * both >= percent * (both + len(rest)) and both > 0)
+                sizes.append((len(y), len(rest)))
+                if differ:
+                    most = min(len(rest), len(y) * (100 - percent) // percent + 1)
+                    rest = rest[np.argsort(mix(rest))[:most]].view(SIGNED)
+                apart.append(rest if differ else None)
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(good, pa.bool_()), pa.array(apart, pa.list_(pa.int64())), *(pa.array([z[k] for z in sizes], pa.int64()) for k in (0, 1))], names=["a", "b", "linked", "apart", "n", "d"])
 
     pairs = keep(pairs, "candidates")
     nodes = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
     sets = keep(sets_of(docs, nodes, words_each), "sets")
     rows = pairs.join(sets.select(F.col("node").alias("a"), F.col("grams").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("grams").alias("y")), "b")
-    return keep(rows.select("a", "b", "x", "y").mapInArrow(check, "a long, b long"), "links")
+    rows = rows.select("a", "b", "x", "y").mapInArrow(check, "a long, b long, linked boolean, apart array<long>, n long, d long")
+    return keep(rows if differ else rows.where("linked").select("a", "b"), "compared")
 
 
 def similarity_classes(docs: DataFrame, words_each: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id for every row of docs(doc_id, text), by Jaccard likeness of at least `percent` / 100.
 
     Method: documents with equal sets form a class, of which the smallest id stands for all. Under each of three token
-    orders (shingles known to be frequent last, then by a seeded hash) two alike sets share a token among the first
-    n - ceil(percent * n / 100) + 1 of each. The first order makes the index; a pair must meet under all three and pass a
-    length bound before its whole sets are compared. In the index each token's smallest member is first compared with all
-    others, so a large group of near copies costs as many pairs as it has members; then, for tokens whose members aren't yet
-    in one component, every pair across components is compared. So components are exact, without all pairs of a group.
+    orders (shingles known to be frequent last, by count, then by a seeded hash) two alike sets share a token among the
+    first n - ceil(percent * n / 100) + 1 of each. The first order makes the index, with the tokens' positions; a pair must
+    meet under all three before its whole sets are compared.
+
+    In the index each token's smallest member, its leader, is compared with the others, so a large group of near copies
+    costs as many pairs as it has members. Two members that were compared with their leader, not both linked with it, can
+    only be alike if some shingle sets both apart from the leader; they are joined on those. Members that didn't reach a
+    comparison with their leader meet the token's other members outside their component; of these pairs only those are compared
+    whose tallies by hash slot, an upper bound on what is common, allow a link. So components are exact, without all pairs of
+    a group.
 
     Words part at ASCII white space, with A-Z in lower case; with fewer words than a shingle the whole sequence is one. No
     words or null text: size 0, linked with nothing, own id as component. Rows that repeat an id count as one document with
@@ -142,33 +209,45 @@ def similarity_classes(docs: DataFrame, words_each: int = 5, percent: int = 80)
     signed = keep(signatures(docs, words_each, percent, count_frequent(docs, words_each)), "signatures")
     full = signed.where("n > 0 and doc_id is not null")
     classes = keep(full.groupBy("n", "s1", "s2").agg(F.min("doc_id").alias("node"), F.count("*").alias("copies")), "classes")
-    # of several rows with the smallest id only those with this set stand for the class
-    reps = classes.select("node", "n", "s1", "s2").withColumnRenamed("node", "doc_id")
-    nodes = keep(join_bounded(full, reps, ["doc_id", "n", "s1", "s2"], "left_semi").dropDuplicates(["doc_id", "n", "s1", "s2"]), "nodes").withColumnRenamed("doc_id", "node")
-
-    entries = keep(nodes.select(F.explode("p0").alias("token"), "node", "n"), "index")
-    many = entries.groupBy("token").agg(F.count("*").alias("members"), F.min(F.struct("node", "n")).alias("lead")).where("members > 1")
-    many = keep(many, "tokens")
-    entries = keep(entries.join(many.select("token", "lead"), "token"), "shared")
-    fits = lambda a, b: (F.col(a) * 100 >= F.col(b) * percent) & (F.col(b) * 100 >= F.col(a) * percent)
-
-    star = entries.where(F.col("node") > F.col("lead.node")).select(F.col("lead.node").alias("a"), F.col("node").alias("b"), F.col("lead.n").alias("m"), "n")
-    star = star.where(fits("n", "m")).select("a", "b").distinct()
-    links = linked(docs, confirmed(star, nodes), words_each, percent)
-
+    # most sets occur once; where one has copies, a row of the smallest id stands for them
+    copied = classes.where("copies > 1").select("n", "s1", "s2", "node")
+    alone = join_bounded(full, copied, ["n", "s1", "s2"], "left_anti").withColumnRenamed("doc_id", "node")
+    among = join_bounded(full, copied, ["n", "s1", "s2"]).where("doc_id = node").dropDuplicates(["n", "s1", "s2"]).select(*alone.columns)
+    nodes = alone.unionByName(among)
+
+    # the index: tokens with two members at least, each with its smallest member as leader
+    entries = nodes.select("node", "n", F.posexplode("p0").alias("pos", "token"))
+    members = W.partitionBy("token")
+    entries = entries.withColumn("members", F.count("*").over(members)).withColumn("lead", F.min(F.struct("node", "n", "pos")).over(members))
+    entries = keep(entries.where("members > 1").drop("members"), "index")
+    star = entries.where((F.col("node") > F.col("lead.node")) & reach("n", "pos", "lead.n", "lead.pos", percent))
+    star = star.select(F.col("lead.node").alias("a"), F.col("node").alias("b")).distinct()
+    star = keep(star, "star")
+    tested = compared(docs, confirmed(star, nodes, percent), words_each, percent, differ=True)
+    links = tested.where("linked").select("a", "b")
     labels = keep(components(links), "labels")
-    labelled = entries.select("token", "node", "n").join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    labelled = keep(labelled, "labelled")
-    by = labelled.groupBy("token", "component").agg(F.count("*").alias("c"))
-    by = by.groupBy("token").agg(F.max(F.struct("c", "component")).alias("top"), F.count("*").alias("parts")).where("parts > 1")
-    by = by.select("token", F.col("top.component").alias("main"))
-    open_ = labelled.join(by, "token")
-    minor = open_.where("component <> main").select("token", F.col("node").alias("b"), F.col("n").alias("m"), F.col("component").alias("other"))
-    # a pair is met from its minor member, or from the larger id where both are minor
-    rest = open_.join(minor, "token").where((F.col("component") != F.col("other")) & ((F.col("component") == F.col("main")) | (F.col("node") < F.col("b"))) & fits("n", "m"))
-    rest = rest.select(F.least("node", "b").alias("a"), F.greatest("node", "b").alias("b")).distinct()
-    rest = rest.join(star, ["a", "b"], "left_anti")
-    more = linked(docs, confirmed(rest, nodes), words_each, percent)
+    component = lambda df, node, name: join_bounded(df, labels.select(F.col("node").alias(node), F.col("component").alias(name)), [node], "left").withColumn(name, F.coalesce(name, node))
+
+    # two members compared with one leader a: if not both are linked with it, they are alike only if they differ from it alike
+    apart = component(tested, "b", "of").select("a", "b", "linked", "of", "n", "d", F.posexplode("apart").alias("pos", "gram"))
+    strays = apart.where("not linked").select("a", "gram", F.col("b").alias("c"), F.col("of").alias("other"), F.col("n").alias("m"), F.col("d").alias("e"), F.col("pos").alias("at"))
+    # alike sets of n and m differ in so many shingles at most; what both have apart from a makes up for the rest
+    most = F.floor((F.col("n") + F.col("m")) * (100 - percent) / (100 + percent))
+    meets = 2 * F.least(F.col("d") - F.col("pos"), F.col("e") - F.col("at")) >= F.col("d") + F.col("e") - most
+    near = apart.join(strays, ["a", "gram"]).where((F.col("of") != F.col("other")) & (F.col("linked") | (F.col("b") < F.col("c"))) & meets)
+    near = near.select(F.least("b", "c").alias("a"), F.greatest("b", "c").alias("b")).distinct()
+
+    # members that weren't compared with their token's leader meet all others of the token, outside their component
+    met = tested.select(F.col("a").alias("l"), F.col("b").alias("node"), F.lit(True).alias("met"))
+    open_ = join_bounded(component(entries.withColumn("l", F.col("lead.node")).drop("lead"), "node", "of"), met, ["l", "node"], "left")
+    open_ = keep(open_.select("token", "node", "n", "pos", "of", (F.col("met").isNotNull() | (F.col("node") == F.col("l"))).alias("met")), "open")
+    by = open_.groupBy("token").agg(F.min("of").alias("x"), F.max("of").alias("y"), F.min("met").alias("met")).where("x <> y and not met").select("token")
+    open_ = open_.join(by, "token")
+    lone = open_.where("not met").select("token", F.col("node").alias("c"), F.col("n").alias("m"), F.col("pos").alias("at"), F.col("of").alias("other"))
+    rest = open_.join(lone, "token").where((F.col("of") != F.col("other")) & (F.col("met") | (F.col("node") < F.col("c"))) & reach("n", "pos", "m", "at", percent))
+    rest = rest.select(F.least("node", "c").alias("a"), F.greatest("node", "c").alias("b")).distinct()
+    rest = keep(rest.unionByName(near).distinct(), "rest")
+    more = compared(docs, plausible(docs, confirmed(rest, nodes, percent), words_each, percent), words_each, percent).select("a", "b")
 
     found = keep(components(links.unionByName(more)), "components")
     named = classes.join(found, "node", "left").select("n", "s1", "s2", F.coalesce("component", "node").alias("component_id"))
@@ -178,11 +257,24 @@ def similarity_classes(docs: DataFrame, words_each: int = 5, percent: int = 80)
     return some.unionByName(none).select("doc_id", F.col("n").alias("n_shingles"), "component_id")
 
 
-def confirmed(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Pairs whose prefixes meet under the other orders too."""
-    side = lambda k: nodes.select(F.col("node").alias(k), F.col("p1").alias(f"{k}1"), F.col("p2").alias(f"{k}2"))
+def needed(n: str, m: str, percent: int) -> F.Column:
+    """Shingles that sets of n and m have in common if they are alike."""
+    return F.ceil((F.col(n) + F.col(m)) * percent / (100 + percent))
+
+
+def reach(n: str, pos: str, m: str, at: str, percent: int) -> F.Column:
+    """Whether sets of n and m, whose first common token is at pos and at, can be alike."""
+    return F.least(F.col(n) - F.col(pos), F.col(m) - F.col(at)) >= needed(n, m, percent)
+
+
+def confirmed(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    """Pairs whose prefixes, as long as their sizes ask for, meet under the other orders too."""
+    ends = keep(pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct(), "ends")
+    nodes = keep(join_bounded(nodes.select("node", "n", "p1", "p2"), ends, ["node"], "left_semi"), "sides")
+    side = lambda k: nodes.select(F.col("node").alias(k), F.col("n").alias(f"{k}n"), F.col("p1").alias(f"{k}1"), F.col("p2").alias(f"{k}2"))
     both = pairs.join(side("a"), "a").join(side("b"), "b")
-    return both.where(F.arrays_overlap("a1", "b1") & F.arrays_overlap("a2", "b2")).select("a", "b")
+    head = lambda k, i: F.slice(f"{k}{i}", F.lit(1), F.greatest(F.lit(0), F.col(f"{k}n") - needed("an", "bn", percent) + 1).cast("int"))
+    return both.where(F.arrays_overlap(head("a", 1), head("b", 1)) & F.arrays_overlap(head("a", 2), head("b", 2))).select("a", "b")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
