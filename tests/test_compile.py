@@ -108,3 +108,25 @@ def test_query_matches_sql(spark, name):
 @pytest.mark.parametrize("name", sorted(set(Q.QUERIES) - set(Q.ORACLES)))
 def test_query_has_rows(spark, name):
     assert Q.QUERIES[name](spark, DATA).limit(5).count() > 0
+
+
+def test_tree_issues(spark):
+    from vellumspark.operators.shape import tree_issues
+
+    docs = spark.createDataFrame([(1, "html", "<p>ok <b>x</b></p><ul><li><p>y</ul>"), (2, "html", "<blockquote><p>a</p></blockquote><table><caption>c</caption><tr><td><p>z</table>"), (3, "markdown", "# T")], "doc_id long, kind string, source string")
+    got = {(r["doc_id"], r["issue"]) for r in tree_issues(Corpus(docs).nodes).collect()}
+    assert got == {(2, "caption in table"), (2, "paragraph in table_cell")}
+
+
+def test_images(spark, tmp_path):
+    from .test_atlas import png
+
+    from vellumspark.plans import images
+
+    (tmp_path / "a").mkdir()
+    (tmp_path / "a" / "x.png").write_bytes(png(4, 2, 3, b"\0" * 26))
+    (tmp_path / "bad.png").write_bytes(b"\x89PNG\r\n\x1a\n")
+    docs = spark.createDataFrame([(1, "markdown", "![one](a/x.png) ![two](none.png)"), (2, "html", "<img src=a/x.png><img src=bad.png>")], "doc_id long, kind string, source string")
+    rows = images.load(Corpus(docs), images.read_folder(spark, f"file://{tmp_path}")).collect()
+    got = {(r["doc_id"], r["image_id"]): (r["width"], r["error"]) for r in rows}
+    assert got == {(1, 0): (4, None), (1, 1): (None, "image not found: none.png"), (2, 0): (4, None), (2, 1): (None, "decode failed")}
