@@ -33,7 +33,7 @@ def decoded(files: DataFrame) -> DataFrame:
 def read_folder(spark: SparkSession, folder: str) -> DataFrame:
     """path, content of the files below a folder, by their path inside it."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
-    root = folder.split(":", 1)[-1].rstrip("/") + "/"
+    root = "/" + folder.split(":", 1)[-1].strip("/") + "/"
     return files.select(F.regexp_replace("path", "^.*?" + "".join("\\" + c if not c.isalnum() else c for c in root), "").alias("path"), "content")
 
 
