@@ -20,9 +20,9 @@ EACH = 4000
 #: Tokens in fewer of the counted texts are unknown; so many are kept at most, by evidence.
 LEAST, TOKENS = 3, 60_000
 #: Weight of the Dirichlet prior, as a share of all counts.
-PRIOR = 0.1
+PRIOR = 0.2
 #: Taken from every token's log-odds, so that a neutral passage scores below zero.
-DRIFT = 0.1
+DRIFT = 0.7
 #: Bytes of a word's stems, which are tokens too; the token of the strongest log-odds stands for the word.
 STEMS = (3, 4, 5, 6)
 
