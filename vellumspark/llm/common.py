@@ -6,11 +6,13 @@ import tempfile
 import uuid
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: A side with at most so many rows is broadcast; beyond it the join shuffles.
-BROADCAST_ROWS = 200_000
+#: A narrow side (a few numbers a row) with at most so many rows is broadcast; beyond it the join shuffles.
+BROADCAST_ROWS = 500_000
+#: The same for a side with arrays or bytes, whose size is summed first.
+BROADCAST_BYTES = 48_000_000
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -31,7 +33,17 @@ def keep(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    kept = spark.read.schema(df.schema).parquet(path)
+    kept._kept_at = path
+    return kept
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables that keep() wrote and that nothing to come reads."""
+    for df in tables:
+        jvm = df.sparkSession._jvm
+        path = jvm.org.apache.hadoop.fs.Path(df._kept_at)
+        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def small_batches(spark: SparkSession) -> None:
@@ -46,6 +58,12 @@ def join_bounded(big: DataFrame, small: DataFrame, on: Sequence[str], how: str =
     return big.join(small.hint("merge"), list(on), how)
 
 
+def small_enough(side: DataFrame, width: Column) -> DataFrame:
+    """A side with the hint that its summed size allows: broadcast up to BROADCAST_BYTES, a merge join beyond. width: bytes of a row."""
+    n = side.agg(F.sum(width + 40)).head()[0] or 0
+    return F.broadcast(side) if n <= BROADCAST_BYTES else side.hint("merge")
+
+
 def components(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
     """Connected components of edges(a long, b long) as (node, component): the smallest node of each.
 

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import components, join_bounded, keep, read, small_batches
+from .common import BROADCAST_ROWS, components, discard, join_bounded, keep, read, small_batches, small_enough
 from .textkernel import U, blocks, mix, shingles, words
 
 #: Shingles that the orders place last, by count: this many at most, and only from this count on. Any order gives right
@@ -146,11 +146,14 @@ def plausible(docs: DataFrame, pairs: DataFrame, words_each: int, percent: int)
                 good.append(100 * both >= percent * (n + m - both))
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(good, pa.bool_()))
 
-    pairs = keep(pairs, "confirmed")
     nodes = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
     t = keep(tallies(docs, nodes, words_each), "tallies")
-    rows = pairs.join(t.select(F.col("node").alias("a"), "n", F.col("tally").alias("x")), "a").join(t.select(F.col("node").alias("b"), F.col("n").alias("m"), F.col("tally").alias("y")), "b")
-    return rows.select("a", "b", "x", "y", "n", "m").mapInArrow(check, "a long, b long")
+    width = F.octet_length("tally")
+    rows = pairs.join(small_enough(t, width).select(F.col("node").alias("a"), "n", F.col("tally").alias("x")), "a")
+    rows = rows.join(small_enough(t, width).select(F.col("node").alias("b"), F.col("n").alias("m"), F.col("tally").alias("y")), "b")
+    out = keep(rows.select("a", "b", "x", "y", "n", "m").mapInArrow(check, "a long, b long"), "plausible")
+    discard(pairs, t)
+    return out
 
 
 def compared(docs: DataFrame, pairs: DataFrame, words_each: int, percent: int, differ: bool = False) -> DataFrame:
@@ -175,12 +178,13 @@ def compared(docs: DataFrame, pairs: DataFrame, words_each: int, percent: int, d
                 apart.append(rest if differ else None)
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(good, pa.bool_()), pa.array(apart, pa.list_(pa.int64())), *(pa.array([z[k] for z in sizes], pa.int64()) for k in (0, 1))], names=["a", "b", "linked", "apart", "n", "d"])
 
-    pairs = keep(pairs, "candidates")
     nodes = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
     sets = keep(sets_of(docs, nodes, words_each), "sets")
     rows = pairs.join(sets.select(F.col("node").alias("a"), F.col("grams").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("grams").alias("y")), "b")
     rows = rows.select("a", "b", "x", "y").mapInArrow(check, "a long, b long, linked boolean, apart array<long>, n long, d long")
-    return keep(rows if differ else rows.where("linked").select("a", "b"), "compared")
+    out = keep(rows if differ else rows.where("linked").select("a", "b"), "compared")
+    discard(pairs, sets)
+    return out
 
 
 def similarity_classes(docs: DataFrame, words_each: int = 5, percent: int = 80) -> DataFrame:
@@ -224,6 +228,7 @@ def similarity_classes(docs: DataFrame, words_each: int = 5, percent: int = 80)
     star = star.select(F.col("lead.node").alias("a"), F.col("node").alias("b")).distinct()
     star = keep(star, "star")
     tested = compared(docs, confirmed(star, nodes, percent), words_each, percent, differ=True)
+    discard(star)
     links = tested.where("linked").select("a", "b")
     labels = keep(components(links), "labels")
     component = lambda df, node, name: join_bounded(df, labels.select(F.col("node").alias(node), F.col("component").alias(name)), [node], "left").withColumn(name, F.coalesce(name, node))
@@ -240,15 +245,19 @@ def similarity_classes(docs: DataFrame, words_each: int = 5, percent: int = 80)
     # members that weren't compared with their token's leader meet all others of the token, outside their component
     met = tested.select(F.col("a").alias("l"), F.col("b").alias("node"), F.lit(True).alias("met"))
     open_ = join_bounded(component(entries.withColumn("l", F.col("lead.node")).drop("lead"), "node", "of"), met, ["l", "node"], "left")
-    open_ = keep(open_.select("token", "node", "n", "pos", "of", (F.col("met").isNotNull() | (F.col("node") == F.col("l"))).alias("met")), "open")
-    by = open_.groupBy("token").agg(F.min("of").alias("x"), F.max("of").alias("y"), F.min("met").alias("met")).where("x <> y and not met").select("token")
-    open_ = open_.join(by, "token")
+    whole = keep(open_.select("token", "node", "n", "pos", "of", (F.col("met").isNotNull() | (F.col("node") == F.col("l"))).alias("met")), "open")
+    discard(entries)
+    by = whole.groupBy("token").agg(F.min("of").alias("x"), F.max("of").alias("y"), F.min("met").alias("met")).where("x <> y and not met").select("token")
+    by = keep(by, "tokens")
+    open_ = keep(join_bounded(whole, by, ["token"], rows=2 * BROADCAST_ROWS), "unsettled")
+    discard(whole, by)
     lone = open_.where("not met").select("token", F.col("node").alias("c"), F.col("n").alias("m"), F.col("pos").alias("at"), F.col("of").alias("other"))
     rest = open_.join(lone, "token").where((F.col("of") != F.col("other")) & (F.col("met") | (F.col("node") < F.col("c"))) & reach("n", "pos", "m", "at", percent))
     rest = rest.select(F.least("node", "c").alias("a"), F.greatest("node", "c").alias("b")).distinct()
     rest = keep(rest.unionByName(near).distinct(), "rest")
     more = compared(docs, plausible(docs, confirmed(rest, nodes, percent), words_each, percent), words_each, percent).select("a", "b")
 
+    discard(rest, open_)
     found = keep(components(links.unionByName(more)), "components")
     named = classes.join(found, "node", "left").select("n", "s1", "s2", F.coalesce("component", "node").alias("component_id"))
     rows = signed.select("doc_id", "n", "s1", "s2")
@@ -271,10 +280,13 @@ def confirmed(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     """Pairs whose prefixes, as long as their sizes ask for, meet under the other orders too."""
     ends = keep(pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct(), "ends")
     nodes = keep(join_bounded(nodes.select("node", "n", "p1", "p2"), ends, ["node"], "left_semi"), "sides")
-    side = lambda k: nodes.select(F.col("node").alias(k), F.col("n").alias(f"{k}n"), F.col("p1").alias(f"{k}1"), F.col("p2").alias(f"{k}2"))
+    held = small_enough(nodes, 2 * (F.size("p1") + F.size("p2")))
+    side = lambda k: held.select(F.col("node").alias(k), F.col("n").alias(f"{k}n"), F.col("p1").alias(f"{k}1"), F.col("p2").alias(f"{k}2"))
     both = pairs.join(side("a"), "a").join(side("b"), "b")
     head = lambda k, i: F.slice(f"{k}{i}", F.lit(1), F.greatest(F.lit(0), F.col(f"{k}n") - needed("an", "bn", percent) + 1).cast("int"))
-    return both.where(F.arrays_overlap(head("a", 1), head("b", 1)) & F.arrays_overlap(head("a", 2), head("b", 2))).select("a", "b")
+    out = keep(both.where(F.arrays_overlap(head("a", 1), head("b", 1)) & F.arrays_overlap(head("a", 2), head("b", 2))).select("a", "b"), "confirmed")
+    discard(ends, nodes)
+    return out
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
