@@ -197,7 +197,8 @@ def similarity_classes(docs: DataFrame, words_each: int = 5, percent: int = 80)
 
     In the index each token's smallest member, its leader, is compared with the others, so a large group of near copies
     costs as many pairs as it has members. Two members that were compared with their leader, not both linked with it, can
-    only be alike if some shingle sets both apart from the leader; they are joined on those. Members that didn't reach a
+    only be alike if some shingle sets both apart from the leader; they are joined on those, again first with the smallest
+    that has such a shingle, then across the components that are left. Members that didn't reach a
     comparison with their leader meet the token's other members outside their component; of these pairs only those are compared
     whose tallies by hash slot, an upper bound on what is common, allow a link. So components are exact, without all pairs of
     a group.
@@ -234,11 +235,24 @@ def similarity_classes(docs: DataFrame, words_each: int = 5, percent: int = 80)
     component = lambda df, node, name: join_bounded(df, labels.select(F.col("node").alias(node), F.col("component").alias(name)), [node], "left").withColumn(name, F.coalesce(name, node))
 
     # two members compared with one leader a: if not both are linked with it, they are alike only if they differ from it alike
-    apart = component(tested, "b", "of").select("a", "b", "linked", "of", "n", "d", F.posexplode("apart").alias("pos", "gram"))
-    strays = apart.where("not linked").select("a", "gram", F.col("b").alias("c"), F.col("of").alias("other"), F.col("n").alias("m"), F.col("d").alias("e"), F.col("pos").alias("at"))
+    # (so a leader of one other member, or of linked ones alone, has nothing to join)
+    mixed = keep(tested.groupBy("a").agg(F.count("*").alias("k"), F.min("linked").alias("all")).where("k > 1 and not all").select("a"), "mixed")
+    grams = join_bounded(tested, mixed, ["a"], "left_semi").select("a", "b", "linked", "n", "d", F.posexplode("apart").alias("pos", "gram"))
+    grams = keep(grams, "apart")
     # alike sets of n and m differ in so many shingles at most; what both have apart from a makes up for the rest
     most = F.floor((F.col("n") + F.col("m")) * (100 - percent) / (100 + percent))
     meets = 2 * F.least(F.col("d") - F.col("pos"), F.col("e") - F.col("at")) >= F.col("d") + F.col("e") - most
+    other = [F.col("b").alias("c"), F.col("n").alias("m"), F.col("d").alias("e"), F.col("pos").alias("at")]
+    # first with the smallest of those that share what sets them apart, as above
+    lead = F.min(F.struct("b", "n", "d", "pos")).over(W.partitionBy("a", "gram"))
+    led = grams.where("not linked").withColumn("lead", lead).where("b <> lead.b")
+    led = led.select(F.col("lead.b").alias("c"), F.col("lead.n").alias("m"), F.col("lead.d").alias("e"), F.col("lead.pos").alias("at"), "b", "n", "d", "pos").where(meets)
+    led = compared(docs, keep(led.select(F.col("c").alias("a"), "b").distinct(), "led"), words_each, percent)
+    links = keep(links.unionByName(led.select("a", "b")), "links")
+    labels = keep(components(links), "labels")
+
+    apart = component(grams, "b", "of")
+    strays = apart.where("not linked").select("a", "gram", *other, F.col("of").alias("other"))
     near = apart.join(strays, ["a", "gram"]).where((F.col("of") != F.col("other")) & (F.col("linked") | (F.col("b") < F.col("c"))) & meets)
     near = near.select(F.least("b", "c").alias("a"), F.greatest("b", "c").alias("b")).distinct()
 
