@@ -3,6 +3,7 @@
 import os
 
 import duckdb
+import pandas as pd
 import pytest
 
 from vellumspark.plans import packages as K
@@ -101,7 +102,7 @@ def test_query_matches_sql(spark, name):
     got = Q.QUERIES[name](spark, DATA).toPandas()
     want = con.sql(Q.ORACLES[name]).df()
     assert sorted(got.columns) == sorted(want.columns)
-    rows = lambda df: sorted(tuple("" if v is None or v != v else str(v) for v in r) for r in df[sorted(df.columns)].astype(object).itertuples(index=False))
+    rows = lambda df: sorted(tuple("" if pd.isna(v) else str(int(v)) if isinstance(v, float) and v.is_integer() else str(v) for v in r) for r in df[sorted(df.columns)].astype(object).itertuples(index=False))
     assert rows(got) == rows(want)
 
 
