@@ -327,6 +327,33 @@ def test_pseudonyms(spark, odd, none):
     assert again == f"card {words[1]}."
 
 
+@pytest.mark.parametrize(
+    "before, value, after, kind",
+    [
+        ("", "4111111111111111", " 123", "card"),
+        ("pay ", "4111 1111 1111 1111", " 12/27", "card"),
+        ("", "4111111111111111", " 2 times", "card"),
+        ("", "4111-1111-1111-1111", "-123", "card"),
+        ("", "4111-1111-1111-1111", "-123456", "card"),
+        ("", "4111111111111111", "-1227 ok", "card"),
+        ("1234-", "4111-1111-1111-1111", "", "card"),
+        ("no 12-", "4111111111111111", "", "card"),
+        ("", "AT611904300234573201", " 2024", "iban"),
+        ("", "AT611904300234573201", " EUR2024 12", "iban"),
+        ("", "AT61 1904 3002 3457 3201", " PAID NOW", "iban"),
+        ("", "386-555-3733", " 1234", "phone"),
+        ("", "+123 4567 4567", " 4567 4567", "phone"),
+    ],
+)
+def test_values_that_run_on(before, value, after, kind):
+    new, found = pseudonyms.pseudonymise(before + value + after, b"k")
+    assert len(found) == 1 and found[0][:2] == (kind, len(before)) and found[0][2] >= len(before + value)
+    assert new.startswith(before) and value not in new
+    if kind != "phone":
+        assert found[0][2] == len(before + value) and new.endswith(after)
+        assert new == before + pseudonyms.pseudonymise(value, b"k")[0] + after
+
+
 @pytest.mark.parametrize("domain", [1, 2, 10, 97, 1000, 36**3])
 def test_feistel_permutes(domain):
     assert sorted(pseudonyms.feistel(i, domain, b"key", b"kind") for i in range(domain)) == list(range(domain))

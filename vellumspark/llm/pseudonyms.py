@@ -170,15 +170,36 @@ KINDS: list[tuple[str, str, Callable[[str, bytes], str | None]]] = [
     ("ipv4", r"(?<![\w.])\d{1,3}(?:\.\d{1,3}){3}(?![\w]|\.\d)", ipv4),
     ("date", r"(?<![\w./-])(?:\d{4}-\d\d-\d\d|\d{4}/\d\d/\d\d|\d{4}\.\d\d\.\d\d|\d\d?-\d\d?-\d{4}|\d\d?/\d\d?/\d{4}|\d\d?\.\d\d?\.\d{4})(?![\w/-])", date),
     ("ssn", r"(?<![\w-])\d{3}-\d\d-\d{4}(?![\w-])", ssn),
-    ("card", r"(?<![\w-])\d(?:[ -]?\d){12,18}(?![\w-])", card),
+    ("card", r"(?<!\w)(?<!\D-)(?<!^-)\d(?:[ -]?\d){12,18}(?!\w|-[A-Za-z_])", card),
     ("phone", r"(?<![\w+])(?:\+\d{1,3}[ .-]?\(\d{2,4}\)[ .-]?\d{3,4}[ .-]?\d{3,4}|\+\d{1,3}(?:[ .-]?\d{2,4}){2,4}|\(\d{3}\)[ .-]?\d{3}[ .-]?\d{4}|\d{3}[.-]\d{3}[.-]\d{4})(?![\w])", phone),
 ]
 PATTERN = re.compile("|".join(f"(?P<{k}>{p})" for k, p, _ in KINDS), re.ASCII)
-MAKE = {k: f for k, _, f in KINDS}
+SINGLE = {k: re.compile(p, re.ASCII) for k, p, _ in KINDS}
+#: Kinds whose pattern may run on into digits or words after the value.
+RUN_ON = ("iban", "card", "phone")
 #: A text without any of these holds no value.
 HINT = re.compile(r"\d[\d .()/+-]{5}|@|password=|token|api_key=|secret=", re.ASCII)
 
 
+def validated(text: str, m: re.Match, key: bytes) -> tuple[str, int, str] | None:
+    """(kind, end, pseudonym) of the value at a match: of the kind that matched or of a later one, whole or else up to the last border of groups that leaves a valid one."""
+    kinds = list(KINDS)
+    while kinds and kinds[0][0] != m.lastgroup:
+        del kinds[0]
+    for kind, _, make in kinds:
+        one = m if kind == m.lastgroup else SINGLE[kind].match(text, m.start())
+        if one is None:
+            continue
+        ends = [one.end()]
+        if kind in RUN_ON:
+            ends += [e for e in range(one.end() - 1, one.start(), -1) if text[e] in " .-" and text[e - 1].isalnum()]
+        for end in ends:
+            new = make(text[one.start() : end], key)
+            if new is not None:
+                return kind, end, new
+    return None
+
+
 def pseudonymise(text: str, key: bytes) -> tuple[str, list[tuple[str, int, int]]]:
     """(new text, (kind, start, end) of the values in the old one)."""
     if not HINT.search(text):
@@ -187,13 +208,14 @@ def pseudonymise(text: str, key: bytes) -> tuple[str, list[tuple[str, int, int]]
     found = []
     at = look = 0
     while (m := PATTERN.search(text, look)) is not None:
-        new = MAKE[m.lastgroup](m[0], key)
-        if new is None:  # a value may begin inside what wasn't one
+        value = validated(text, m, key)
+        if value is None:  # a value may begin inside what wasn't one
             look = m.start() + 1
             continue
+        kind, end, new = value
         out += [text[at : m.start()], new]
-        at = look = m.end()
-        found.append((m.lastgroup, m.start(), at))
+        at = look = end
+        found.append((kind, m.start(), at))
     return "".join([*out, text[at:]]) if found else text, found
 
 
@@ -206,7 +228,8 @@ def protect(docs: DataFrame, key: bytes = KEY) -> DataFrame:
     falls inside), and check digits are made anew. Equal values get equal pseudonyms in all documents, however they are
     written; different ones of a kind stay different, and the result is valid again.
 
-    A number that fails its check stays. Null text stays null, with no values. Whole texts are read. Null and repeated ids:
+    A card number, IBAN or phone number that runs on into other digits or words is also tried up to each border of its
+    groups, longest first. A number that fails its check stays. Null text stays null, with no values. Whole texts are read. Null and repeated ids:
     rows of their own. Empty table: no rows. A column of docs named pii is replaced.
     """
     small_batches(docs.sparkSession)
