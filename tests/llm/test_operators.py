@@ -222,6 +222,51 @@ def test_line_dedup(spark, odd, none):
             assert long not in kept and got[i]["n_dropped"] == 1
 
 
+def brute_runs(texts):
+    """The texts, less every run of lines that occurs earlier and has two lines with words or 50 words, found by extending every pair of places."""
+    split = [t.split("\n") for t in texts]
+    places = [(d, i) for d, x in enumerate(split) for i in range(len(x)) if x[i].strip()]
+    go = set()
+    for k, (d, i) in enumerate(places):
+        for e, j in places[:k]:
+            n = 0
+            while i + n < len(split[d]) and j + n < len(split[e]) and split[d][i + n] == split[e][j + n]:
+                n += 1
+            while n and not split[d][i + n - 1].strip():
+                n -= 1
+            run = split[d][i : i + n]
+            if sum(bool(x.strip()) for x in run) >= 2 or sum(len(x.split()) for x in run) >= 50:
+                go |= {(d, x) for x in range(i, i + n)}
+    return ["".join(y for i, y in enumerate(t.splitlines(True)) if (d, i) not in go) for d, t in enumerate(texts)]
+
+
+def test_line_dedup_takes_whole_passages(spark):
+    rng = np.random.default_rng(7)
+    line = lambda n: " ".join("".join(rng.choice(list("abcdef"), 6)) for _ in range(n))
+    passages = ["\n".join(line(w) for _ in range(n)) for n, w in ((2, 30), (2, 4), (3, 9), (12, 9), (1, 50))]
+    passages.append("\n\n".join(line(12) for _ in range(3)))
+    rows = []
+    for i in range(60):
+        own = [line(int(rng.integers(1, 14))) for _ in range(6)]
+        rows.append((i, "\n".join([*own[:3], passages[i % len(passages)], *own[3:], "the same short line"])))
+    got = {r["doc_id"]: r for r in linededup.dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for i, t in rows:
+        passage = passages[i % len(passages)]
+        if i < len(passages):
+            assert (got[i]["text"], got[i]["n_chunks"], got[i]["n_dropped"]) == (t, 1, 0)
+        else:
+            assert got[i]["text"] == t.replace(passage + "\n", "")
+            assert (got[i]["n_chunks"], got[i]["n_dropped"], got[i]["dropped_words"]) == (3, 1, len(passage.split()))
+
+
+def test_line_dedup_against_brute_force(spark):
+    rng = np.random.default_rng(8)
+    pool = ["", "", "  ", "é a", "b c d", "short", "x " * 49 + "x", "y " * 48 + "y", *(f"line {i}" for i in range(12))]
+    texts = ["\n".join(rng.choice(pool, int(rng.integers(0, 12)))) for _ in range(120)] + ["b\nb\nb\nb", "b\nb", "\n\n", "b\n\nb\n"]
+    got = {r["doc_id"]: r["text"] for r in linededup.dedup(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert [got[i] for i in range(len(texts))] == brute_runs(texts)
+
+
 # classifiers
 
 
