@@ -213,6 +213,13 @@ def dangling_refs(spark, sf_dir):
     return R.dangling(table(spark, sf_dir, "lineitem").where("l_partkey % 7 = 0"), F.col("l_partkey"), part, "p_partkey").select("l_orderkey", "l_linenumber")
 
 
+@query("select l_orderkey, l_linenumber from lineitem where l_partkey not in (select p_partkey from part where p_size > 10)")
+def dangling_refs_all(spark, sf_dir):
+    """JN5, JN6, JN7: references without a target, of all rows; dangling_refs has those that its SQL asks for."""
+    part = table(spark, sf_dir, "part").where("p_size > 10")
+    return R.dangling(table(spark, sf_dir, "lineitem"), F.col("l_partkey"), part, "p_partkey").select("l_orderkey", "l_linenumber")
+
+
 @query("select user_id, event_type, count(*) as n from events group by user_id, event_type having count(*) > 1")
 def duplicate_keys(spark, sf_dir):
     """ST4."""
