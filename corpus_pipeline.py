@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vellumspark.llm import jaccard, language, linededup, mixing, packing
@@ -27,25 +27,43 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return out.withColumn("n_chars", F.when(F.col("n_dropped") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*COLUMNS)
 
 
+def row_hash() -> Column:
+    """A hash of a row's columns; only equal rows share it."""
+    return F.xxhash64(*COLUMNS, *(F.col(c).isNull() for c in COLUMNS))
+
+
 def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies (five words, 0.8): the one of the smallest id. Of rows that repeat an id one stays."""
+    """One document of each group of near copies (five words, 0.8): the one of the smallest id. Rows whose id is null or repeated
+    are documents of their own, which stand behind those of other ids; of equal rows one stays."""
     docs = docs.select(*COLUMNS)
-    classes = keep(jaccard.similarity_classes(docs, words_each=5, percent=80), "classes")
-    gone = classes.where("doc_id <> component_id").select("doc_id").distinct()
-    left = join_bounded(docs, gone, ["doc_id"], "left_anti")
-    twice = keep(classes.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id"), "twice")
-    if twice.head() is None:
-        return left
-    once = join_bounded(left, twice, ["doc_id"], "left_semi").groupBy("doc_id").agg(F.min(F.struct(*COLUMNS[1:])).alias("x")).select("doc_id", "x.*")
-    return join_bounded(left, twice, ["doc_id"], "left_anti").unionByName(once)
+    odd = keep(docs.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1 or doc_id is null").select("doc_id"), "odd")
+    if odd.head() is None:
+        return left_of(docs, "doc_id")
+    docs = join_bounded(docs, odd.where("doc_id is not null").withColumn("_odd", F.lit(True)), ["doc_id"], "left")
+    docs = docs.withColumn("_odd", F.col("doc_id").isNull() | F.col("_odd").isNotNull())
+    # keys from 2 ** 62 on
+    own = row_hash().bitwiseAND(F.lit(2**62 - 1)).bitwiseOR(F.lit(2**62))
+    left = left_of(docs.withColumn("_row", F.when(F.col("_odd"), own).otherwise(F.col("doc_id"))), "_row")
+    return left.where("not _odd").select(*COLUMNS).unionByName(left.where("_odd").select(*COLUMNS).dropDuplicates())
+
+
+def left_of(docs: DataFrame, key: str) -> DataFrame:
+    """docs less those that resemble one of a smaller key."""
+    classes = keep(jaccard.similarity_classes(docs.select(F.col(key).alias("doc_id"), "text"), words_each=5, percent=80), "classes")
+    gone = classes.where("doc_id <> component_id").select(F.col("doc_id").alias(key)).distinct()
+    return join_bounded(docs, gone, [key], "left_anti")
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix takes them, in whole documents: the words taken over the document's words, rounded."""
-    docs = docs.select(*COLUMNS)
-    taken = mixing.mix(docs).where("size > 0").groupBy("doc_id").agg(F.max(F.round(F.col("taken") / F.col("size"))).cast("int").alias("_times"))
-    taken = keep(taken.where("_times > 0 and doc_id is not null"), "times")
-    out = join_bounded(docs, taken, ["doc_id"])
+    """Documents as often as the mix takes them, in whole documents: the words taken over the document's words, rounded. Rows whose
+    id is null or repeated have takes of their own; equal rows share theirs."""
+    docs = docs.select(*COLUMNS).withColumn("_row", row_hash()).withColumn("_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(0).cast("long")))
+    taken = mixing.mix(docs, carry=["_row"]).where("size > 0").withColumn("_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(0).cast("long")))
+    taken = taken.groupBy("_id", "_row").agg(F.sum(F.round(F.col("taken") / F.col("size"))).cast("int").alias("_times"), F.count("*").alias("_n"))
+    taken = keep(taken.where("_times > 0"), "times")
+    out = join_bounded(docs, taken, ["_id", "_row"])
+    if taken.where("_n > 1").head() is not None:
+        out = out.where("_n = 1").unionByName(out.where("_n > 1").dropDuplicates())
     return out.withColumn("_k", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(*COLUMNS)
 
 

@@ -21,3 +21,19 @@ def test_stages(spark):
     for _, stage in corpus_pipeline.STAGES:
         empty = keep(stage(spark, empty, ""), "test")
     assert empty.collect() == []
+
+
+def test_null_and_repeated_ids_keep_their_own_decisions(spark):
+    text = lambda i, n=60: " ".join(f"w{i}x{j}" for j in range(n))
+    rows = [(i, text(i), "en", f"s{i % 3}", 100) for i in range(20)]
+    rows += [(None, text(100 + i), "en", "s0", 100) for i in range(5)] + [(5, text(200), "en", "s1", 100), (5, text(200), "en", "s1", 100)]
+    rows += [(None, text(1), "en", "s0", 100), (6, text(2), "en", "s0", 100)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    left = [tuple(r) for r in corpus_pipeline.distinct(spark, docs, "").collect()]
+    assert sorted(r[1] for r in left) == sorted({r[1] for r in rows})
+    assert {r[0] for r in left if r[1] in (text(1), text(2))} == {1, 2}
+    # of one source all documents are taken once at least, whatever their ids
+    one = [(*r[:3], "s", *r[4:]) for r in rows]
+    got = [tuple(r) for r in corpus_pipeline.mixed(spark, spark.createDataFrame(one, docs.schema), "").collect()]
+    assert set(got) == set(one) and all(one.count(r) <= got.count(r) <= 2 * one.count(r) for r in got)
+    assert abs(len(got) - 1.5 * len(one)) <= 1

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -61,8 +63,8 @@ def ranked(df: DataFrame, group: str, chunk: str, order: list, value: Column, na
     return df.join(sums.drop("_n"), [group, chunk]).withColumn(name, F.col("_before") + F.col("_in")).drop("_in", "_before")
 
 
-def mix(docs: DataFrame, weights: list[float] = (5.0, 2.0, 1.0), share: float = 1.5, most: float = 2.0, block: int = BLOCK_WORDS) -> DataFrame:
-    """Every row of docs(doc_id, source, text) with size, source_size, target and taken.
+def mix(docs: DataFrame, weights: list[float] = (5.0, 2.0, 1.0), share: float = 1.5, most: float = 2.0, block: int = BLOCK_WORDS, carry: Sequence[str] = ()) -> DataFrame:
+    """Every row of docs(doc_id, source, text) with size, source_size, target and taken, and the columns named in carry.
 
     Method: the documents of a source are shuffled (by the MD5 of their id) into one stream of words, cut into blocks of
     `block` words, of which the last may be shorter. Point i of the golden-ratio sequence, mapped through the cumulative
@@ -71,9 +73,10 @@ def mix(docs: DataFrame, weights: list[float] = (5.0, 2.0, 1.0), share: float =
     source follow at the end. A document's `taken` is the sum over the slots that take words of it.
 
     Null text: size 0, taken 0. Null source: a source of its own, last. No documents or only empty ones: targets and taken
-    are 0. Repeated rows are rows of their own. Other columns aren't read. Reruns agree.
+    are 0. Repeated rows are rows of their own. Other columns aren't read. Reruns agree. Columns in carry tell rows apart whose
+    id is null or repeated: they order them in the stream.
     """
-    sizes = keep(docs.select(F.col("doc_id"), F.col("source"), n_words(F.col("text")).alias("size")), "sizes")
+    sizes = keep(docs.select(F.col("doc_id"), F.col("source"), n_words(F.col("text")).alias("size"), *carry), "sizes")
     sources = keep(targets(sizes, list(weights), share, most), "targets")
     plan = sources.withColumn("take", F.floor("target").cast("long")).withColumn("blocks", F.ceil(F.col("source_size") / block).cast("long"))
     last = F.col("source_size") - (F.col("blocks") - 1) * block
@@ -91,9 +94,9 @@ def mix(docs: DataFrame, weights: list[float] = (5.0, 2.0, 1.0), share: float =
     full = F.when(F.col("b") == F.col("blocks") - 1, F.col("last")).otherwise(F.lit(block))
     used = slots.groupBy("k", "b").agg(F.sum((F.col("len") >= full).cast("long")).alias("times"), F.max(F.when(F.col("len") < full, F.col("len"))).alias("part"))
 
-    d = join_bounded(sizes.withColumn("source", named(F.col("source"))), sources.withColumn("source", named(F.col("source"))), ["source"]).select("doc_id", "k", "size", "source_size", "target")
-    d = d.withColumn("h", F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))).withColumn("chunk", F.substring("h", 1, 3))
-    d = ranked(d, "k", "chunk", ["h", "size"], F.col("size"), "start").drop("h", "chunk")
+    d = join_bounded(sizes.withColumn("source", named(F.col("source"))), sources.withColumn("source", named(F.col("source"))), ["source"]).select("doc_id", "k", "size", "source_size", "target", *carry)
+    d = d.withColumn("h", F.md5(F.coalesce(F.col("doc_id").cast("string"), *(F.col(c).cast("string") for c in carry), F.lit("")))).withColumn("chunk", F.substring("h", 1, 3))
+    d = ranked(d, "k", "chunk", ["h", "size", *carry], F.col("size"), "start").drop("h", "chunk")
     d = keep(d, "streams")
     pieces = d.where("size > 0").withColumn("b", F.explode(F.sequence(F.floor(F.col("start") / block), F.floor((F.col("start") + F.col("size") - 1) / block))))
     a = F.greatest(F.col("start") - F.col("b") * block, F.lit(0))
@@ -104,7 +107,7 @@ def mix(docs: DataFrame, weights: list[float] = (5.0, 2.0, 1.0), share: float =
     # only one document of a positive size starts at a place of a source's stream
     some = d.where("size > 0").join(got, ["k", "start"], "left")
     none = d.where("size = 0").withColumn("taken", F.lit(0).cast("long"))
-    return some.unionByName(none).select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
+    return some.unionByName(none).select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), *carry)
 
 
 def schedule(plan: DataFrame, total: int) -> DataFrame:
