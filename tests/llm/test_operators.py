@@ -267,6 +267,12 @@ def test_line_dedup_against_brute_force(spark):
     assert [got[i] for i in range(len(texts))] == brute_runs(texts)
 
 
+def test_line_dedup_of_repeated_ids(spark):
+    rows = [(1, "one a\none b"), (2, "one a\none b"), (2, "two a\ntwo b"), (2, "two a\ntwo b\ntwo c"), (3, "two a\ntwo b")]
+    got = sorted((r["doc_id"], r["text"]) for r in linededup.dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == [(1, "one a\none b"), (2, ""), (2, "two a\ntwo b"), (2, "two a\ntwo b\ntwo c"), (3, "")]
+
+
 # classifiers
 
 

@@ -48,20 +48,24 @@ def windows(row: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return number[order], a[order], z[order]
 
 
+def window_hashes(data: np.ndarray, a: np.ndarray, z: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two hashes of the byte ranges [a, z) less a break at their end."""
+    z = z - (data[z - 1] == 10) if len(z) else z
+    return spans(data, a, z).view(np.int64), spans(data ^ np.uint8(0x5A), a, z).view(np.int64)
+
+
 def looked_up(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
     """(first row, bytes, window's row, number in it, first byte, end byte without the break, two hashes) of all windows."""
     for i, _, data, at in blocks(column):
         row, start, end, words = lines(data, at)
         number, first, last = windows(row, words)
         a, z = start[first], end[last]
-        z = z - (data[z - 1] == 10) if len(z) else z
-        h = spans(data, a, z)
-        g = spans(data ^ np.uint8(0x5A), a, z)
-        yield i, data, row[first], number, a, z, h.view(np.int64), g.view(np.int64)
+        h, g = window_hashes(data, a, z)
+        yield i, data, row[first], number, a, z - (data[z - 1] == 10) if len(z) else z, h, g
 
 
 def repeated(docs: DataFrame) -> DataFrame:
-    """doc_id, drop array<int>: the numbers of the windows of docs(doc_id, text) that occur earlier, by id and number."""
+    """doc_id, drop array<struct<window, h, g>>: the numbers and hashes of the windows of docs(doc_id, text) that occur earlier, by id and number."""
 
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -88,7 +92,7 @@ def repeated(docs: DataFrame) -> DataFrame:
     first = same.groupBy("h", "g", "bytes").agg(F.min(F.struct("doc_id", "window")).alias("kept"), F.first("key").alias("key"), F.count("*").alias("n")).where("n > 1")
     out = same.drop("bytes").join(first.select("h", "g", "key", "kept"), ["h", "g", "key"])
     out = out.where((F.col("doc_id") != F.col("kept.doc_id")) | (F.col("window") != F.col("kept.window")))
-    return out.groupBy("doc_id").agg(F.sort_array(F.collect_set("window")).alias("drop"))
+    return out.groupBy("doc_id").agg(F.sort_array(F.collect_set(F.struct("window", "h", "g"))).alias("drop"))
 
 
 def dedup(docs: DataFrame) -> DataFrame:
@@ -103,7 +107,8 @@ def dedup(docs: DataFrame) -> DataFrame:
 
     The chunks of a text are its longest runs of lines that go or stay alike: n_chunks of them, n_dropped of which go.
 
-    Null text stays null. Rows that repeat an id lose the same windows: numbers are looked up by id. Null ids stay as they
+    Null text stays null. Rows that repeat an id lose the windows whose number and hashes agree, so unlike texts
+    under one id lose their own only; equal ones lose the same. Null ids stay as they
     are. Short single lines stay, however often they occur. Empty table: no rows. Columns of docs named like the new ones
     are replaced.
     """
@@ -127,11 +132,14 @@ def dedup(docs: DataFrame) -> DataFrame:
                 row, start, end, words = lines(data, off)
                 number, first, last = windows(row, words)
                 bounds, places = np.searchsorted(row, np.arange(j - i + 1)), np.searchsorted(row[first], np.arange(j - i + 1))
+                h, g = window_hashes(data, start[first], end[last])
                 new = column.to_pylist() if new is None else new
                 for r in mine:
                     low, high = bounds[r], bounds[r + 1]
                     own = np.arange(places[r], places[r + 1])
-                    own = own[np.isin(number[own], drop[i + r].as_py())]
+                    # the windows of another row with this id have other hashes
+                    want = {(w["window"], w["h"], w["g"]) for w in drop[i + r].as_py()}
+                    own = own[np.array([k in want for k in zip(number[own].tolist(), h[own].tolist(), g[own].tolist())], bool)]
                     # lines inside a window: more windows begin than have ended
                     step = np.zeros(high - low + 1, np.int64)
                     np.add.at(step, first[own] - low, 1)
