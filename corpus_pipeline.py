@@ -15,9 +15,13 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
 def identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language is known: those that the classifier, fitted on their own labels, calls `und` go."""
+    """Documents whose language is known: those that the classifier, fitted on their own labels, calls `und` go. Without
+    labels to fit on only null texts and texts without a letter go."""
     docs = docs.select(*COLUMNS)
-    return language.identify(docs, language.learn(docs)).where(F.col("lang_pred") != language.NONE).select(*COLUMNS)
+    model = language.learn(docs)
+    if model is None:
+        return docs.where(F.col("text").rlike(r"\p{L}"))
+    return language.identify(docs, model).where(F.col("lang_pred") != language.NONE).select(*COLUMNS)
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

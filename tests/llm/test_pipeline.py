@@ -37,3 +37,9 @@ def test_null_and_repeated_ids_keep_their_own_decisions(spark):
     got = [tuple(r) for r in corpus_pipeline.mixed(spark, spark.createDataFrame(one, docs.schema), "").collect()]
     assert set(got) == set(one) and all(one.count(r) <= got.count(r) <= 2 * one.count(r) for r in got)
     assert abs(len(got) - 1.5 * len(one)) <= 1
+
+
+def test_unlabelled_corpus_stays(spark):
+    rows = [(1, "some words", None), (2, "12 %% 34", None), (3, None, None), (4, "été", None), (5, "", None), (6, "日本", None)]
+    docs = spark.createDataFrame([(*r, "s", 1) for r in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    assert sorted(r["doc_id"] for r in corpus_pipeline.identified(spark, docs, "").collect()) == [1, 4, 6]
