@@ -12,8 +12,9 @@ from .common import join_bounded, keep, read
 
 #: Words in a block of a source's shuffled stream.
 BLOCK_WORDS = 512
-#: The fractional part of the golden ratio; point i of the schedule is the fractional part of i times it.
-GOLDEN = 0.6180339887498949
+#: The fractional part of the golden ratio in 52 bits; point i of the schedule is the last 52 bits of i times it, which whole
+#: numbers keep exact for i under 2 ** 37, where doubles lose the low ones.
+GOLDEN = 0x9E3779B97F4A7
 #: Slots ranked together, so that no task ranks all slots of one source.
 SLOT_CHUNK = 65_536
 #: Places of the cumulative targets in a range.
@@ -64,13 +65,14 @@ def ranked(df: DataFrame, group: str, chunk: str, order: list, value: Column, na
 
 
 def mix(docs: DataFrame, weights: list[float] = (5.0, 2.0, 1.0), share: float = 1.5, most: float = 2.0, block: int = BLOCK_WORDS, carry: Sequence[str] = ()) -> DataFrame:
-    """Every row of docs(doc_id, source, text) with size, source_size, target and taken, and the columns named in carry.
+    """Every row of docs(doc_id, source, text) with size, source_size, target, taken, n_slots and first_slot, and the columns named in carry.
 
     Method: the documents of a source are shuffled (by the MD5 of their id) into one stream of words, cut into blocks of
     `block` words, of which the last may be shorter. Point i of the golden-ratio sequence, mapped through the cumulative
     targets, gives slot i of the mix to a source; the slots of a source are ranked, and rank r takes block r modulo the
     number of blocks. A source's slots end with its target: the last is cut there, and slots that the sequence still owes a
-    source follow at the end. A document's `taken` is the sum over the slots that take words of it.
+    source follow at the end. A document's `taken` is the sum over the slots that take words of it, `n_slots` their number and
+    `first_slot` the place in the mix of the first of them (null: none), by which a reader orders the documents of the mix.
 
     Null text: size 0, taken 0. Null source: a source of its own, last. No documents or only empty ones: targets and taken
     are 0. Repeated rows are rows of their own. Other columns aren't read. Reruns agree. Columns in carry tell rows apart whose
@@ -92,7 +94,8 @@ def mix(docs: DataFrame, weights: list[float] = (5.0, 2.0, 1.0), share: float =
     length = F.when(F.col("rank") == F.col("need") - 1, F.when(F.col("left") > 0, F.col("left") - F.col("b") * block).otherwise(F.col("last"))).when(F.col("b") == F.col("blocks") - 1, F.col("last")).otherwise(F.lit(block))
     slots = slots.withColumn("b", F.col("rank") % F.col("blocks")).withColumn("len", length.cast("long"))
     full = F.when(F.col("b") == F.col("blocks") - 1, F.col("last")).otherwise(F.lit(block))
-    used = slots.groupBy("k", "b").agg(F.sum((F.col("len") >= full).cast("long")).alias("times"), F.max(F.when(F.col("len") < full, F.col("len"))).alias("part"))
+    whole = F.col("len") >= full
+    used = slots.groupBy("k", "b").agg(F.sum(whole.cast("long")).alias("times"), F.max(F.when(~whole, F.col("len"))).alias("part"), F.min(F.when(whole, F.col("place"))).alias("first"), F.min(F.when(~whole, F.col("place"))).alias("part_at"))
 
     d = join_bounded(sizes.withColumn("source", named(F.col("source"))), sources.withColumn("source", named(F.col("source"))), ["source"]).select("doc_id", "k", "size", "source_size", "target", *carry)
     d = d.withColumn("h", F.md5(F.coalesce(F.col("doc_id").cast("string"), *(F.col(c).cast("string") for c in carry), F.lit("")))).withColumn("chunk", F.substring("h", 1, 3))
@@ -103,30 +106,36 @@ def mix(docs: DataFrame, weights: list[float] = (5.0, 2.0, 1.0), share: float =
     z = F.least(F.col("start") + F.col("size") - F.col("b") * block, F.lit(block))
     pieces = pieces.select("k", "start", "b", a.alias("a"), z.alias("z")).join(used, ["k", "b"])
     got = F.col("times") * (F.col("z") - F.col("a")) + F.greatest(F.lit(0), F.least(F.col("z"), F.coalesce(F.col("part"), F.lit(0))) - F.col("a"))
-    got = pieces.groupBy("k", "start").agg(F.sum(got).alias("taken"))
+    in_part = F.coalesce(F.col("part") > F.col("a"), F.lit(False))
+    got = pieces.groupBy("k", "start").agg(F.sum(got).alias("taken"), F.sum(F.col("times") + in_part.cast("long")).alias("n_slots"), F.min(F.least("first", F.when(in_part, F.col("part_at")))).alias("first_slot"))
     # only one document of a positive size starts at a place of a source's stream
     some = d.where("size > 0").join(got, ["k", "start"], "left")
-    none = d.where("size = 0").withColumn("taken", F.lit(0).cast("long"))
-    return some.unionByName(none).select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), *carry)
+    both = some.unionByName(d.where("size = 0"), allowMissingColumns=True)
+    number = lambda c: F.coalesce(c, F.lit(0)).cast("long").alias(c)
+    return both.select("doc_id", "size", "source_size", "target", number("taken"), number("n_slots"), "first_slot", *carry)
 
 
 def schedule(plan: DataFrame, total: int) -> DataFrame:
-    """The slots of the mix: plan's columns and rank, from 0, of each slot in its source; every source gets exactly `need`.
+    """The slots of the mix: plan's columns, the rank, from 0, of each slot in its source, and its place in the mix; every source gets exactly `need`.
 
     A source owns the places [lo, hi) out of `total`. Places are dealt into ranges of PLACES, sources and points are joined
     by range, and a point takes the source whose places it falls in; no range has more than PLACES sources.
     """
     points = plan.sparkSession.range(total)
-    u = (F.col("id") * F.lit(GOLDEN) - F.floor(F.col("id") * F.lit(GOLDEN))) * F.lit(float(total))
-    points = points.withColumn("u", F.least(F.floor(u), F.lit(total - 1))).withColumn("g", F.floor(F.col("u") / PLACES))
+    low, high = GOLDEN & ((1 << 26) - 1), GOLDEN >> 26
+    wrap = lambda x, bits: F.pmod(x, F.lit(1 << bits))
+    f = wrap(wrap(F.col("id") * low, 52) + wrap(F.col("id") * high, 26) * (1 << 26), 52)
+    u = F.floor(f.cast("double") * float(total) / float(1 << 52))
+    points = points.withColumn("u", F.least(u, F.lit(total - 1))).withColumn("g", F.floor(F.col("u") / PLACES))
     owns = plan.select("k", "lo", "hi", F.explode(F.sequence(F.floor(F.col("lo") / PLACES), F.floor((F.col("hi") - 1) / PLACES))).alias("g"))
     points = points.join(owns, "g").where("lo <= u and u < hi").select("id", "k", F.floor(F.col("id") / SLOT_CHUNK).alias("chunk"))
-    slots = ranked(points, "k", "chunk", ["id"], F.lit(1).cast("long"), "rank").select("k", "rank")
-    slots = join_bounded(slots, plan.select("k", "need"), ["k"]).where("rank < need").select("k", "rank")
+    slots = ranked(points, "k", "chunk", ["id"], F.lit(1).cast("long"), "rank").select("k", "rank", F.col("id").alias("place"))
+    slots = join_bounded(slots, plan.select("k", "need"), ["k"]).where("rank < need").select("k", "rank", "place")
     # what the sequence owes: its discrepancy, a few slots a source
     have = slots.groupBy("k").agg(F.count("*").alias("have"))
     owed = plan.select("k", "need").join(have, "k", "left").withColumn("have", F.coalesce("have", F.lit(0).cast("long"))).where("have < need")
-    owed = owed.select("k", F.explode(F.expr("sequence(have, need - 1)")).alias("rank"))
+    owed = owed.withColumn("after", F.sum(F.col("need") - F.col("have")).over(W.orderBy("k")) - F.col("need") + total)
+    owed = owed.select("k", "after", F.explode(F.expr("sequence(have, need - 1)")).alias("rank")).select("k", "rank", (F.col("after") + F.col("rank")).alias("place"))
     return join_bounded(slots.unionByName(owed), plan.drop("hi", "lo"), ["k"])
 
 
@@ -134,9 +143,9 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(read(spark, sf_dir, "documents"))
 
 
-#: The same rows without the schedule: a source's stream is taken in order, so the slots cover its first `take` words.
+#: The same rows, and the same schedule, over ranges of whole sources.
 ORACLE = r"""
-with s as (select doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::bigint as size from documents),
+with s as (select row_number() over () as r, doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::bigint as size from documents),
 b as (select source, sum(size)::bigint as source_size from s group by source),
 k as (select *, row_number() over (order by source nulls last) - 1 as k from b),
 r as (select *, case k % 3 when 0 then 5.0::double when 1 then 2.0::double else 1.0::double end as w from k),
@@ -145,12 +154,35 @@ l as (select *, coalesce(sum(source_size) over (order by r, k rows between unbou
              sum(w) over (order by r, k rows between current row and unbounded following) as weight, sum(source_size) over () as total from q),
 v as (select *, (1.5::double * total::double - 2.0::double * bound::double) / weight as level from l),
 m as (select first(level order by r, k) as level from v where level <= r),
-t as (select v.source, v.source_size, case when m.level is null or v.r < m.level then 2.0::double * v.source_size else m.level * v.w end as target
+t as (select v.k, v.source, v.source_size, case when m.level is null or v.r < m.level then 2.0::double * v.source_size else m.level * v.w end as target
       from v left join m on true),
-o as (select s.doc_id, s.size, t.source_size, t.target, floor(t.target)::bigint as take,
+o as (select s.r, s.doc_id, s.size, t.k, t.source_size, t.target, floor(t.target)::bigint as take,
              coalesce(sum(s.size) over (partition by s.source order by md5(coalesce(s.doc_id::varchar, '')), s.size rows between unbounded preceding and 1 preceding), 0)::bigint as start
-      from s join t on s.source is not distinct from t.source)
-select doc_id, size, source_size, target,
-       (case when source_size = 0 then 0 else (take // source_size) * size + greatest(0, least(size, take % source_size - start)) end)::bigint as taken
-from o
+      from s join t on s.source is not distinct from t.source),
+n1 as (select k, source_size, floor(target)::bigint as take, (source_size + 511) // 512 as blocks from t where source_size > 0),
+n2 as (select *, take // source_size as passes, take % source_size as rest, source_size - (blocks - 1) * 512 as last from n1),
+n3 as (select *, passes * blocks + (rest + 511) // 512 as need from n2),
+p as (select *, (sum(need) over (order by k))::bigint as hi, (sum(need) over (order by k))::bigint - need as lo from n3 where need > 0),
+a as (select max(hi) as total from p),
+i as (select total, unnest(range(total)) as id from a),
+f as (select total, id, (id * 60290215 % 4503599627370496 + id * 41475558 % 67108864 * 67108864) % 4503599627370496 as f from i),
+u as (select id, least(floor(f::double * total::double / 4503599627370496::double)::bigint, total - 1) as u from f),
+c as (select p.k, u.id, row_number() over (partition by p.k order by u.id) - 1 as rank from u join p on u.u >= p.lo and u.u < p.hi),
+d as (select c.k, c.rank, c.id as place from c join p on c.k = p.k where c.rank < p.need),
+h as (select p.k, p.need, count(d.k) as have from p left join d on p.k = d.k group by p.k, p.need),
+w as (select *, (sum(need - have) over (order by k))::bigint - (need - have) as before from h),
+x as (select k, unnest(range(have, need)) as rank, have, before from w),
+e as (select * from d union all select x.k, x.rank, a.total + x.before + x.rank - x.have from x, a),
+g as (select e.k, e.place, e.rank % p.blocks as b, case when e.rank % p.blocks = p.blocks - 1 then p.last else 512 end as whole,
+             case when e.rank = p.need - 1 and p.rest > 0 then p.rest - e.rank % p.blocks * 512 end as cut from e join p on e.k = p.k),
+z as (select k, b, count(*) filter (where cut is null or cut >= whole) as times, max(cut) filter (where cut < whole) as part,
+             min(place) filter (where cut is null or cut >= whole) as first, min(place) filter (where cut < whole) as part_at from g group by k, b),
+y as (select r, k, start, unnest(range(start // 512, (start + size - 1) // 512 + 1)) as b from o where size > 0),
+j as (select y.r, sum(z.times + (case when z.part > greatest(0, y.start - y.b * 512) then 1 else 0 end))::bigint as n_slots,
+             min(least(z.first, case when z.part > greatest(0, y.start - y.b * 512) then z.part_at end))::bigint as first_slot
+      from y join z on y.k = z.k and y.b = z.b group by y.r)
+select o.doc_id, o.size, o.source_size, o.target,
+       (case when o.source_size = 0 then 0 else (o.take // o.source_size) * o.size + greatest(0, least(o.size, o.take % o.source_size - o.start)) end)::bigint as taken,
+       coalesce(j.n_slots, 0)::bigint as n_slots, j.first_slot
+from o left join j on o.r = j.r
 """
