@@ -16,8 +16,14 @@ from .common import read, small_batches
 
 #: The key used where none is given. Whoever is to keep the values secret gives a key of their own.
 KEY = b"vellumspark"
+#: The setting of the session that holds the key of the registered query.
+KEY_CONF = "spark.vellumspark.pseudonym.key"
 ROUNDS = 10
+#: Days of 1900 to 2099, which are permuted among themselves; all other days of the calendar are permuted among each other.
 FIRST_DAY, DAYS = dt.date(1900, 1, 1).toordinal(), 200 * 365 + 49
+LAST_DAY = dt.date.max.toordinal()
+#: Characters of a value that are permuted at once; longer values are permuted in chunks of so many.
+CHUNK = 128
 
 
 def feistel(value: int, domain: int, key: bytes, tweak: bytes) -> int:
@@ -28,16 +34,25 @@ def feistel(value: int, domain: int, key: bytes, tweak: bytes) -> int:
     while True:
         left, right = value >> half, value & mask
         for r in range(ROUNDS):
-            # digests are 64 bytes at most: wider halves take several
-            f = b"".join(hashlib.blake2b(right.to_bytes(size, "big") + bytes([r, i]), digest_size=min(64, size - 64 * i), key=key[:64], person=tweak[:16]).digest() for i in range(-(-size // 64)))
+            f = hashlib.blake2b(right.to_bytes(size, "big") + bytes([r, 0]), digest_size=size, key=key[:64], person=tweak[:16]).digest()
             left, right = right, left ^ (int.from_bytes(f, "big") & mask)
         value = left << half | right
         if value < domain:
             return value
 
 
+def chunks(text: str, tweak: bytes) -> Iterator[tuple[str, bytes]]:
+    """A value in chunks, each with a tweak of its own; the halves of a chunk's number are no wider than a digest."""
+    for k, at in enumerate(range(0, len(text), CHUNK)):
+        yield text[at : at + CHUNK], tweak[:13].ljust(13, b"\0") + k.to_bytes(3, "big") if k else tweak
+
+
 def radix(text: str, key: bytes, tweak: bytes, lead: str = "") -> str:
-    """Every ASCII letter and digit permuted within its kind, all at once; the other characters stay. lead: kinds of digits for the first places, '2' for 2-9."""
+    """Every ASCII letter and digit permuted within its kind, a chunk at once; the other characters stay. lead: kinds of digits for the first places, '2' for 2-9."""
+    return "".join(radix_chunk(part, key, own, "" if k else lead) for k, (part, own) in enumerate(chunks(text, tweak)))
+
+
+def radix_chunk(text: str, key: bytes, tweak: bytes, lead: str) -> str:
     kinds = []
     digits = 0
     for c in text:
@@ -67,6 +82,15 @@ def radix(text: str, key: bytes, tweak: bytes, lead: str = "") -> str:
     return "".join(reversed(out))
 
 
+def day_for(ordinal: int, key: bytes) -> dt.date:
+    """The pseudonym of a day: one of 1900 to 2099 for such a day, one of the other days of the calendar for another."""
+    at = ordinal - FIRST_DAY
+    if 0 <= at < DAYS:
+        return dt.date.fromordinal(feistel(at, DAYS, key, b"date") + FIRST_DAY)
+    other = feistel(ordinal - 1 if at < 0 else ordinal - 1 - DAYS, LAST_DAY - DAYS, key, b"other date")
+    return dt.date.fromordinal(other + 1 if other + 1 < FIRST_DAY else other + 1 + DAYS)
+
+
 def spread(new: str, like: str) -> str:
     """The digits of new in the places of the digits of like."""
     it = iter(new)
@@ -116,18 +140,16 @@ def date(text: str, key: bytes) -> str | None:
         return None
     order = (1, 3, 4) if m[1] else (8, 7, 5)
     try:
-        day = dt.date(*(int(m[i]) for i in order)).toordinal() - FIRST_DAY
+        day = dt.date(*(int(m[i]) for i in order)).toordinal()
     except ValueError:
         if m[1]:
             return None
         try:  # month before day
             order = (8, 5, 7)
-            day = dt.date(*(int(m[i]) for i in order)).toordinal() - FIRST_DAY
+            day = dt.date(*(int(m[i]) for i in order)).toordinal()
         except ValueError:
             return None
-    if not 0 <= day < DAYS:
-        return None
-    new = dt.date.fromordinal(feistel(day, DAYS, key, b"date") + FIRST_DAY)
+    new = day_for(day, key)
     if m[1]:
         return f"{new.year:04}{m[2]}{new.month:02}{m[2]}{new.day:02}"
     a, b = (new.day, new.month) if order == (8, 7, 5) else (new.month, new.day)
@@ -157,14 +179,13 @@ def email(text: str, key: bytes) -> str | None:
 
 def secret(text: str, key: bytes) -> str | None:
     if re.fullmatch(r"[0-9a-f]+", text):
-        new = feistel(int(text, 16), 16 ** len(text), key, b"secret")
-        return f"{new:0{len(text)}x}"
+        return "".join(f"{feistel(int(part, 16), 16 ** len(part), key, tweak):0{len(part)}x}" for part, tweak in chunks(text, b"secret"))
     return radix(text, key, b"secret")
 
 
 #: Kinds in the order in which they are tried at a place, and what makes a value of each.
 KINDS: list[tuple[str, str, Callable[[str, bytes], str | None]]] = [
-    ("email", r"(?<![\w.+-])[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+", email),
+    ("email", r"(?<![\w.%+-])[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+", email),
     ("secret", r"(?<=password=)[^\s\"']+|(?<=token = \")[^\"\s]+|(?<=token=)[^\s\"']+|(?<=api_key=)[^\s\"']+|(?<=secret=)[^\s\"']+", secret),
     ("iban", r"\b[A-Z]{2}\d\d(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?\b", iban),
     ("ipv4", r"(?<![\w.])\d{1,3}(?:\.\d{1,3}){3}(?![\w]|\.\d)", ipv4),
@@ -253,4 +274,5 @@ def protect(docs: DataFrame, key: bytes = KEY) -> DataFrame:
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return protect(read(spark, sf_dir, "documents").select("doc_id", "text")).withColumn("n_pii", F.size("pii"))
+    key = spark.conf.get(KEY_CONF, None)
+    return protect(read(spark, sf_dir, "documents").select("doc_id", "text"), key.encode() if key else KEY).withColumn("n_pii", F.size("pii"))
