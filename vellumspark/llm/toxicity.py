@@ -35,21 +35,31 @@ def tokens(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
 
 
 def segments(s: np.ndarray) -> list[tuple[float, int, int]]:
-    """All maximal scoring segments (score, first, end) of a sequence of token scores, in linear time."""
+    """All maximal scoring segments (score, first, end) of a sequence of token scores, in linear time.
+
+    A segment starts at a low and ends at a high of the running total. `back` leads to the last open segment with a smaller
+    low, past those that can't be extended; where there is none, all open segments are final.
+    """
     total = np.concatenate([[0.0], np.cumsum(s)])
-    found: list[list[float]] = []  # low, high, first, end
+    done: list[tuple[float, float, int, int]] = []
+    open_: list[tuple[float, float, int, int]] = []  # low, high, first, end
+    back: list[int] = []
     for i in np.flatnonzero(s > 0).tolist():
         low, high, first = float(total[i]), float(total[i + 1]), i
-        while found:
-            j = len(found) - 1
-            while j >= 0 and found[j][0] >= low:
-                j -= 1
-            if j < 0 or found[j][1] >= high:
-                break
-            low, first = found[j][0], found[j][2]
-            del found[j:]
-        found.append([low, high, first, i + 1])
-    return [(z - a, int(f), int(e)) for a, z, f, e in found]
+        j = len(open_) - 1
+        while j >= 0 and open_[j][0] >= low:
+            j = back[j]
+        while j >= 0 and open_[j][1] < high:
+            low, first = open_[j][0], open_[j][2]
+            up = back[j]
+            del open_[j:], back[j:]
+            j = up
+        if j < 0:
+            done += open_
+            open_, back = [], []
+        open_.append((low, high, first, i + 1))
+        back.append(j)
+    return [(z - a, f, e) for a, z, f, e in done + open_]
 
 
 @dataclass
@@ -138,7 +148,7 @@ def learn(docs: DataFrame, labels: DataFrame) -> Model:
     s = np.sign(odds) * np.maximum(0, np.abs(odds) - np.sqrt(1 / a + 1 / b))
     known = top["token"].to_numpy(np.int64).view(U)
     order = np.argsort(known)
-    model = Model(known[order], s[order], 1.0, 0.0)
+    model = Model(known[order], s[order], 1.0, 0.0, 1.0, -1.0)
     # lambda: the positive root of E exp(lambda * score) = 1 over the neutral texts' tokens
     weight, value = np.append(x, max(0.0, nx - x.sum())), np.append(s, 0.0) - DRIFT
     weight = weight / weight.sum()
