@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,6 +20,8 @@ LOWER[65:91] += 32
 PUNCT = np.ones(256, bool)
 PUNCT[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = False
 BASE = 0x9E3779B97F4A7C15 | 1
+#: Bytes of a range from which on it is hashed by BLAKE2b.
+LONG = 256
 INVERSE = pow(BASE, -1, 1 << 64)
 _powers: dict[int, np.ndarray] = {}
 
@@ -81,12 +84,18 @@ def words(data: np.ndarray, at: np.ndarray, space: np.ndarray = SPACE, lower: bo
 
 
 def spans(data: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """64-bit hashes of the byte ranges [a, b): a polynomial modulo 2**64, then mixed with the length."""
+    """64-bit hashes of the byte ranges [a, b): a polynomial modulo 2**64, then mixed with the length.
+
+    Long ranges of two letters can be made to collide under any such polynomial; those of LONG bytes and more take BLAKE2b.
+    """
     n = len(data)
     total = np.zeros(n + 1, U)
     np.cumsum((data.astype(U) + U(1)) * powers(BASE, n), out=total[1:])
     h = (total[b] - total[a]) * powers(INVERSE, n + 1)[a]
-    return mix(h ^ ((b - a).astype(U) * U(0xD6E8FEB86659FD93)))
+    h = mix(h ^ ((b - a).astype(U) * U(0xD6E8FEB86659FD93)))
+    for k in np.flatnonzero(b - a >= LONG).tolist():
+        h[k] = int.from_bytes(hashlib.blake2b(data[a[k] : b[k]].tobytes(), digest_size=8).digest(), "little")
+    return h
 
 
 def shingles(h: np.ndarray, row: np.ndarray, n_rows: int, size: int) -> tuple[np.ndarray, np.ndarray]:
