@@ -18,7 +18,10 @@ from .textkernel import BLOCK, LOWER, U, blocks, words
 EACH, EPOCHS = 1200, 12
 #: Hash buckets of all features, and dimensions of their vectors.
 BITS, DIM = 16, 12
-#: Lengths, in bytes of lower-case text, of the character n-grams.
+#: Features of all sampled texts together at most (a hash bucket that occurs in a text is one): what the driver fits on. Texts
+#: beyond it, by a hash of their id, are left out of the sample.
+FIT_FEATURES = 20_000_000
+#: Lengths, in characters of lower-case text, of the character n-grams.
 LENGTHS = (2, 3, 4)
 #: A text is taken for good from this probability on.
 LIMIT = 0.3
@@ -26,8 +29,11 @@ LIMIT = 0.3
 
 def features(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(row, bucket) of every word and character n-gram of a block of texts; n-grams hold blanks and punctuation too."""
-    low = LOWER[data].astype(np.uint32)
-    owner = np.repeat(np.arange(len(at) - 1, dtype=np.int32), np.diff(at))
+    low = LOWER[data]
+    starts = np.concatenate([[0], np.cumsum((low & 0xC0) != 0x80)])
+    size = np.diff(starts[at])
+    low = np.frombuffer(low.tobytes().decode("utf-8", "replace").encode("utf-32-le", "replace"), np.uint32)
+    owner = np.repeat(np.arange(len(at) - 1, dtype=np.int32), size)
     _, _, row, h = words(data, at)
     rows, buckets = [row.astype(np.int32)], [(h >> U(64 - BITS)).astype(np.int32)]
     x = np.zeros(len(low), np.uint32)
@@ -56,8 +62,11 @@ class Model:
 
 
 def fit(bags: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, seed: int = 1) -> Model:
-    """Stochastic gradient descent, one text at a time, with a falling rate. bags: (buckets, shares) of each text."""
+    """Stochastic gradient descent, one text at a time, with a falling rate. bags: (buckets, shares) of each text. Labels weigh
+    alike in sum, so a score of one half is where both are equally likely before a text is seen."""
     spread = np.random.default_rng(seed)
+    share_of = np.bincount(labels, minlength=2) / max(len(labels), 1)
+    weight = np.minimum(1, share_of[::-1] / np.maximum(share_of, 1e-9))
     m = Model(spread.normal(0, 0.1, (1 << BITS, DIM)).astype(np.float32), spread.normal(0, 0.1, (DIM, 2)).astype(np.float32), np.zeros(2, np.float32))
     steps, done = EPOCHS * len(bags), 0
     for _ in range(EPOCHS):
@@ -72,6 +81,7 @@ def fit(bags: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, seed: int
             p = np.exp(z - z.max())
             p /= p.sum()
             p[labels[i]] -= 1
+            p *= weight[labels[i]]
             back = m.out @ p
             m.out -= rate * 0.3 * np.outer(h, p)
             m.bias -= rate * 0.03 * p
@@ -93,7 +103,12 @@ def learn(docs: DataFrame, labels: DataFrame) -> Model | None:
                 out = [((key[a:z] & ((1 << BITS) - 1)).astype("<u4").tobytes(), n[a:z].astype("<u4").tobytes()) for a, z in zip(cut[:-1], cut[1:])]
                 yield pa.RecordBatch.from_arrays([b.column("quality").slice(i, j - i), b.column("doc_id").slice(i, j - i), pa.array([o[0] for o in out], pa.binary()), pa.array([o[1] for o in out], pa.binary())], names=["quality", "doc_id", "ids", "n"])
 
-    got = labelled_texts(docs, ids).select("quality", "doc_id", "text").mapInArrow(bag, "quality int, doc_id long, ids binary, n binary").toPandas().sort_values("doc_id")
+    all_ = keep(labelled_texts(docs, ids).select("quality", "doc_id", "text").mapInArrow(bag, "quality int, doc_id long, ids binary, n binary"), "bags")
+    size = all_.select("doc_id", (F.octet_length("ids") / 4).alias("n"), F.xxhash64("doc_id").alias("h")).toPandas().sort_values(["h", "doc_id"])
+    if size["n"].sum() > FIT_FEATURES:
+        fitting = size.loc[size["n"].cumsum() <= FIT_FEATURES, "doc_id"].tolist()
+        all_ = all_.where(F.col("doc_id").isin(fitting))
+    got = all_.toPandas().sort_values("doc_id")
     if not len(got):
         return None
     bags = []
