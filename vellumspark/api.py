@@ -22,8 +22,8 @@ def read_corpus(spark: SparkSession, path: str) -> DataFrame:
     return documents.read_files(spark, path).withColumn("doc_id", F.xxhash64("path"))
 
 
-def compile_corpus(docs: DataFrame, css: list[str] | None = None, atlases: DataFrame | None = None, images: DataFrame | None = None, keep: str | None = None) -> DataFrame:
-    """doc_id, bytes, error. docs: doc_id, kind, source. keep: a shared folder for the parsed documents, which many views read."""
+def compile_corpus(docs: DataFrame, css: list[str] | None = None, atlases: DataFrame | None = None, images: DataFrame | None = None, keep: str | bool = True) -> DataFrame:
+    """doc_id, bytes, error. docs: doc_id, kind, source. keep: a shared folder for the parsed documents, which many views read; True: a new one."""
     return packages.pack(Corpus(docs, css, keep=keep), docs, atlases, images)
 
 

@@ -9,18 +9,30 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
-def sibling_links(df: DataFrame, parent: Sequence[str], key: str) -> DataFrame:
-    """df with prev_id, next_id, first_id and last_id of key among the rows of a parent, in order of key; 0 for none."""
+def sibling_links(df: DataFrame, parent: Sequence[str], key: str, ends: bool = True) -> DataFrame:
+    """df with prev_id, next_id and, with ends, first_id and last_id of key among the rows of a parent, in order of key; 0 for none."""
     line = W.partitionBy(*parent).orderBy(key)
     whole = W.partitionBy(*parent)
     zero = lambda x: F.coalesce(x, F.lit(0))
-    return df.select("*", zero(F.lag(key).over(line)).alias("prev_id"), zero(F.lead(key).over(line)).alias("next_id"), F.min(key).over(whole).alias("first_id"), F.max(key).over(whole).alias("last_id"))
+    more = [F.min(key).over(whole).alias("first_id"), F.max(key).over(whole).alias("last_id")] if ends else []
+    return df.select("*", zero(F.lag(key).over(line)).alias("prev_id"), zero(F.lead(key).over(line)).alias("next_id"), *more)
 
 
-def first_seen(df: DataFrame, group: Sequence[str], value: Sequence[str], order: str, name: str) -> DataFrame:
-    """The distinct values of a group with dense ids from 0, by first occurrence in `order`."""
+def first_seen(df: DataFrame, group: Sequence[str], value: Sequence[str], order: str, name: str, start: int = 0) -> DataFrame:
+    """The distinct values of a group with dense ids from start, by first occurrence in `order`."""
     first = df.groupBy(*group, *value).agg(F.min(order).alias("_first"))
-    return first.withColumn(name, F.row_number().over(W.partitionBy(*group).orderBy("_first")) - 1).drop("_first")
+    return dense_ids(first, group, "_first", name, start).drop("_first")
+
+
+def dense_ids(df: DataFrame, group: Sequence[str], order: str, name: str, start: int = 0) -> DataFrame:
+    """df with dense ids of the values of `order` in a group, from start; null where it is null."""
+    rank = F.dense_rank().over(W.partitionBy(*group).orderBy(F.col(order).asc_nulls_last()))
+    return df.withColumn(name, F.when(F.col(order).isNotNull(), rank + (start - 1)))
+
+
+def last_wins(df: DataFrame, group: Sequence[str], value: Sequence[str], order: Sequence[str]) -> DataFrame:
+    """The value columns of each group's row that comes last in an order."""
+    return df.groupBy(*group).agg(F.max_by(F.struct(*value), F.struct(*order)).alias("_v")).select(*group, "_v.*")
 
 
 def numbered(df: DataFrame, group: Sequence[str], order: str, is_item: Column, start: Column, name: str = "value") -> DataFrame:

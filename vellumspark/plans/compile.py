@@ -1,6 +1,7 @@
 """The compile plan: from parsed documents to tables of chunks, styles, contents, codepoints, links and counts.
 
-Parsing and partitioning run once per document in Python (sources.documents). Matching rules, the cascade, sharing of styles
+Parsing and partitioning run once per document in Python (sources.documents); the parsed table, and the styles that requests
+come to, are written to the shared folder once and read by column. Matching rules, the cascade, sharing of styles
 and texts, ordering and counting are relational, keyed by doc_id throughout, so that one exchange by doc_id serves each view.
 Only inheritance folds over a document's requests in Python: a request's sizes depend on those of the one it inherits from.
 """
@@ -19,7 +20,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from vellumspark.operators.partition import CHUNK_CODES, EXTRA_CODES, STRUCTURAL
+from vellumspark.operators import relational as R
 from vellumspark.sources import documents
+from vellumspark.sources.shared import written
 
 # A document's default style, and the markers that a list style shows.
 DEFAULT_FAMILY = "Noto Sans"
@@ -31,6 +34,8 @@ FIELDS = [x.split()[0] for x in STYLE.split(", ")]
 DEFAULT = (DEFAULT_FAMILY, 16.0, 1.5, 400, False, 0x000000FF, 0, 0.0, 0.0, 0, 0.0, 0, False, False, 0.0, 0)
 MARKERS = {1: "•", 2: "◦", 3: "▪", 4: "0123456789.", 5: "abcdefghijklmnopqrstuvwxyz.", 6: "ABCDEFGHIJKLMNOPQRSTUVWXYZ.", 7: "ivxlcdm.", 8: "IVXLCDM."}
 SMALLEST, LARGEST = np.float32(1), np.float32(4096)
+#: Rules of the sheets given that are broadcast at most; more are joined by their keys like any table.
+SHARED_RULES = 20_000
 #: Style fields as tagged properties: tag, field, kind of value.
 PROPERTIES = [
     (2, "font_size_px", "f32"), (3, "line_height", "f32"), (4, "font_weight", "u16"), (5, "italic", "bool"), (6, "color", "u32"), (7, "background", "u32"),
@@ -94,15 +99,16 @@ class Corpus:
     """A compiled corpus: each property is a DataFrame keyed by doc_id, planned when first asked for.
 
     docs: doc_id, kind ('html', 'markdown'), source. css: user style sheets, after the documents' own, in order. parsed may
-    be given instead of docs: the table that sources.documents.parse made.
+    be given instead of docs: the table that sources.documents.parse made. keep: a shared folder for that table; True: a new
+    one; False: nothing is written, which is right for one view of the parsed table alone, as each view parses again.
     """
 
-    def __init__(self, docs: DataFrame | None = None, css: list[str] | None = None, parsed: DataFrame | None = None, keep: str | None = None):
+    def __init__(self, docs: DataFrame | None = None, css: list[str] | None = None, parsed: DataFrame | None = None, keep: str | bool = True):
+        self._keep = bool(keep)
         if parsed is None:
             parsed = documents.parse(docs)
             if keep:
-                parsed.write.mode("overwrite").parquet(keep)
-                parsed = docs.sparkSession.read.schema(parsed.schema).parquet(keep)
+                parsed = written(parsed, "parsed", keep if isinstance(keep, str) else None)
         self.parsed = parsed
         self.spark: SparkSession = parsed.sparkSession
         first = documents.rules(documents.DEFAULT_SHEET, 0)
@@ -152,21 +158,24 @@ class Corpus:
     def matches(self) -> DataFrame:
         """doc_id, request, ord, spec, declarations: the rules that fit a request, a row for each selector that does.
 
-        The rules of all documents are as many as their sheets have, and are broadcast; a document's own meet its requests by
-        doc_id. Tags are an equality, so most pairs never form.
+        A rule is filed under one key of its last compound, its id, else its first class, else its tag, else `*`; a request
+        asks for each key that its node has. So all meet by equality, the rules of all documents by key and a document's own
+        by doc_id and key, and only selectors of several compounds look at the nodes above.
         """
         shared, own = self._rules()
-        asked = self.requests.select("doc_id", "request", "chain", F.struct("tag", "id", "classes").alias("hint"), "tag").withColumnRenamed("chain", "above_nodes")
-        tagged = shared.where("last.tag is not null").withColumn("tag", F.col("last.tag"))
-        by_tag = asked.join(F.broadcast(tagged), "tag")
-        free = asked.join(F.broadcast(shared.where("last.tag is null")), F.lit(True))
-        by_doc = asked.join(own, "doc_id")
-        pairs = by_tag.select(*(c := ["doc_id", "request", "above_nodes", "hint", "ord", "spec", "chain", "last", "declarations"]))
-        pairs = pairs.unionByName(free.select(*c)).unionByName(by_doc.select(*c)).where(simple_match(F.col("last"), F.col("hint")))
+        last = F.col("last")
+        filed = F.when(last["id"].isNotNull(), F.concat(F.lit("#"), last["id"])).when(F.size(last["classes"]) > 0, F.concat(F.lit("."), F.get(last["classes"], 0))).otherwise(F.coalesce(last["tag"], F.lit("*")))
+        keys = F.array_compact(F.concat(F.array(F.lit("*"), F.col("tag"), F.concat(F.lit("#"), F.col("id"))), F.transform(F.coalesce("classes", F.array().cast("array<string>")), lambda c: F.concat(F.lit("."), c))))
+        asked = self.requests.select("doc_id", "request", F.struct("tag", "id", "classes").alias("hint"), F.explode(F.array_distinct(keys)).alias("key"))
+        shared = shared.withColumn("key", filed)
+        shared = F.broadcast(shared) if len(self.shared_rules) <= SHARED_RULES else shared.hint("merge")
+        cols = ["doc_id", "request", "hint", "ord", "spec", "chain", "last", "declarations"]
+        pairs = asked.join(shared, "key").select(*cols).unionByName(asked.join(own.withColumn("key", filed), ["doc_id", "key"]).select(*cols))
+        pairs = pairs.where(simple_match(last, F.col("hint")))
         plain = pairs.where(F.size("chain") == 1)
-        deep = pairs.where(F.size("chain") > 1).join(self.parsed.select("doc_id", "nodes"), "doc_id")
-        hints = F.transform("above_nodes", lambda i: F.get(F.col("nodes"), i))
-        deep = deep.where(chain_match(F.col("chain"), hints))
+        above = self.requests.select("doc_id", "request", F.col("chain").alias("above_nodes"))
+        deep = pairs.where(F.size("chain") > 1).join(above, ["doc_id", "request"]).join(self.parsed.select("doc_id", "nodes"), "doc_id")
+        deep = deep.where(chain_match(F.col("chain"), F.transform("above_nodes", lambda i: F.get(F.col("nodes"), i))))
         cols = ["doc_id", "request", "ord", "spec", "declarations"]
         return plain.select(*cols).unionByName(deep.select(*cols))
 
@@ -177,8 +186,7 @@ class Corpus:
         inline = self.parsed.select("doc_id", F.inline("inline")).join(self.requests.select("doc_id", "request", "node"), ["doc_id", "node"])
         inline = inline.select("doc_id", "request", F.lit(1).alias("inline"), F.array(F.lit(0), F.lit(0), F.lit(0)).alias("spec"), F.lit(0).alias("ord"), "idx", "name", "number", "unit", "code", "word")
         both = rules.unionByName(inline)
-        best = F.max_by(F.struct("number", "unit", "code", "word"), F.struct("inline", "spec", "ord", "idx"))
-        return both.repartition("doc_id").groupBy("doc_id", "request", "name").agg(best.alias("v")).select("doc_id", "request", "name", "v.*")
+        return R.last_wins(both.repartition("doc_id"), ["doc_id", "request", "name"], ["number", "unit", "code", "word"], ["inline", "spec", "ord", "idx"])
 
     @cached_property
     def computed(self) -> DataFrame:
@@ -208,16 +216,16 @@ class Corpus:
                         head = [[doc_id] * len(asked), *([r[k] for r in asked] for k in ("request", "seq", "marks"))]
                         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip([*head, *zip(*styles)], arrow.types)], schema=arrow)
 
-        return both.mapInArrow(fold, schema)
+        out = both.mapInArrow(fold, schema)
+        return written(out, "computed") if self._keep else out
 
     @cached_property
     def styles(self) -> DataFrame:
         """doc_id, style_id and the style: 0 is the default, the others by first use. A NaN is never equal to another."""
         used = self.computed.where("seq is not null")
         odd = F.when(F.isnan("line_height"), F.col("seq"))
-        first = used.groupBy("doc_id", *FIELDS, odd.alias("odd")).agg(F.min("seq").alias("first"))
-        first = first.where(~F.struct(*FIELDS).eqNullSafe(default_style()) | F.col("odd").isNotNull())
-        rest = first.withColumn("style_id", F.row_number().over(W.partitionBy("doc_id").orderBy("first"))).select("doc_id", "style_id", *FIELDS, "odd")
+        other = used.withColumn("odd", odd).where(~F.struct(*FIELDS).eqNullSafe(default_style()) | F.col("odd").isNotNull())
+        rest = R.first_seen(other, ["doc_id"], [*FIELDS, "odd"], "seq", "style_id", start=1).select("doc_id", "style_id", *FIELDS, "odd")
         zero = self.parsed.where("error is null").select("doc_id", F.lit(0).alias("style_id"), *[default_style()[f].alias(f) for f in FIELDS], F.lit(None).cast("int").alias("odd"))
         return zero.unionByName(rest)
 
@@ -242,31 +250,32 @@ class Corpus:
 
     # chunks and contents
 
+    @cached_property
+    def _shown(self) -> DataFrame:
+        """The chunks, and for each that shows something `first`, the seq of the first chunk of its document that shows the same."""
+        c = self.parsed.select("doc_id", F.inline("chunks")).repartition("doc_id")
+        same = W.partitionBy("doc_id", F.xxhash64("text"), "text", "image")
+        return c.withColumn("first", F.when(F.col("seq").isNotNull(), F.min("seq").over(same)))
+
     @cached_property
     def content(self) -> DataFrame:
         """doc_id, payload_id, kind, text, image: texts once each, images each, by first use."""
-        c = self.parsed.select("doc_id", F.inline("chunks")).where("seq is not null")
-        first = c.groupBy("doc_id", "text", "image").agg(F.min("seq").alias("first"))
-        return first.select(
-            "doc_id", (F.row_number().over(W.partitionBy("doc_id").orderBy("first")) - 1).alias("payload_id"), F.when(F.col("image").isNull(), "text_utf8").otherwise("image_ref").alias("kind"), "text", "image"
-        )
+        c = self._shown.where("seq = first")
+        out = R.dense_ids(c, ["doc_id"], "first", "payload_id")
+        return out.select("doc_id", "payload_id", F.when(F.col("image").isNull(), "text_utf8").otherwise("image_ref").alias("kind"), "text", "image")
 
     @cached_property
     def chunks(self) -> DataFrame:
         """doc_id, chunk_id, kind, flags, style_id, links, content_index, ordinal, depth, text."""
-        c = self.parsed.select("doc_id", F.inline("chunks"))
-        line = W.partitionBy("doc_id", "parent_id").orderBy("chunk_id")
-        link = lambda x: F.coalesce(x, F.lit(0))
-        c = c.withColumn("prev_id", F.when(F.col("parent_id") > 0, link(F.lag("chunk_id").over(line))).otherwise(0)).withColumn("next_id", F.when(F.col("parent_id") > 0, link(F.lead("chunk_id").over(line))).otherwise(0))
-        ends = c.where("parent_id > 0").groupBy("doc_id", F.col("parent_id").alias("chunk_id")).agg(F.min("chunk_id").alias("first_child_id"), F.max("chunk_id").alias("last_child_id"))
-        ids = self.content.select("doc_id", (F.col("payload_id") + 1).alias("content_index"), F.col("text").alias("t"), F.col("image").alias("i"))
+        c = R.dense_ids(self._shown, ["doc_id"], "first", "content_index", start=1)
+        below = F.when(F.col("parent_id") > 0, F.col("chunk_id"))
+        c = R.sibling_links(c, ["doc_id", "parent_id"], "chunk_id", ends=False)
+        ends = c.where(below.isNotNull()).groupBy("doc_id", F.col("parent_id").alias("chunk_id")).agg(F.min("chunk_id").alias("first_child_id"), F.max("chunk_id").alias("last_child_id"))
         c = c.join(ends, ["doc_id", "chunk_id"], "left").join(self.style_of, ["doc_id", "request"], "left")
-        c = c.alias("c").join(ids.alias("p"), (F.col("c.doc_id") == F.col("p.doc_id")) & F.col("c.seq").isNotNull() & F.col("c.text").eqNullSafe(F.col("p.t")) & F.col("c.image").eqNullSafe(F.col("p.i")), "left")
         flags = F.when(F.col("kind").isin(*STRUCTURAL), 16).otherwise(0) + F.col("hidden").cast("int")
-        return c.select(
-            "c.doc_id", "chunk_id", "kind", flags.alias("flags"), link(F.col("style_id")).alias("style_id"), "parent_id", "prev_id", "next_id", link(F.col("first_child_id")).alias("first_child_id"),
-            link(F.col("last_child_id")).alias("last_child_id"), link(F.col("content_index")).alias("content_index"), (F.col("chunk_id") - 1).alias("ordinal"), "depth", "text",
-        )
+        link = lambda x: F.coalesce(x, F.lit(0)).alias(x)
+        tied = lambda x: F.when(F.col("parent_id") > 0, F.col(x)).otherwise(0).alias(x)
+        return c.select("doc_id", "chunk_id", "kind", flags.alias("flags"), link("style_id"), "parent_id", tied("prev_id"), tied("next_id"), link("first_child_id"), link("last_child_id"), link("content_index"), (F.col("chunk_id") - 1).alias("ordinal"), "depth", "text")
 
     @cached_property
     def extras(self) -> DataFrame:

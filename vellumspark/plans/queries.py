@@ -15,14 +15,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def pages(spark: SparkSession, sf_dir: str, css: list[str] | None = None) -> Corpus:
+def pages(spark: SparkSession, sf_dir: str, css: list[str] | None = None, keep: bool = True) -> Corpus:
     p = table(spark, sf_dir, "pages")
-    return Corpus(p.select(F.col("page_id").alias("doc_id"), F.lit("html").alias("kind"), F.col("html").alias("source")), css)
+    return Corpus(p.select(F.col("page_id").alias("doc_id"), F.lit("html").alias("kind"), F.col("html").alias("source")), css, keep=keep)
 
 
 def prose(spark: SparkSession, sf_dir: str) -> Corpus:
+    """For queries of one view, which parse in the pass that answers them."""
     d = table(spark, sf_dir, "documents")
-    return Corpus(d.select("doc_id", F.lit("markdown").alias("kind"), F.col("text").alias("source")))
+    return Corpus(d.select("doc_id", F.lit("markdown").alias("kind"), F.col("text").alias("source")), keep=False)
 
 
 def sha(x: Column) -> Column:
@@ -60,19 +61,19 @@ def query(sql: str | None = None):
 )
 def chunk_kind_counts(spark, sf_dir):
     """AG4: chunks by kind of each page."""
-    return pages(spark, sf_dir).parsed.select(F.col("doc_id").alias("page_id"), F.explode("chunks").alias("c")).groupBy("page_id", F.col("c.kind").alias("kind")).agg(F.count("*").alias("n"))
+    return pages(spark, sf_dir, keep=False).parsed.select(F.col("doc_id").alias("page_id"), F.explode("chunks").alias("c")).groupBy("page_id", F.col("c.kind").alias("kind")).agg(F.count("*").alias("n"))
 
 
 @query(f"select page_id, {TITLE} as title, regexp_extract(html, '<html lang=\"([^\"]*)\"', 1) as lang, len(regexp_extract_all(html, '<style>(.*?)</style>', 1))::int as n_sheets from pages")
 def doc_meta(spark, sf_dir):
     """PAR4: title, language and number of style sheets."""
-    return pages(spark, sf_dir).meta.select(F.col("doc_id").alias("page_id"), "title", "lang", F.size("stylesheets").alias("n_sheets"))
+    return pages(spark, sf_dir, keep=False).meta.select(F.col("doc_id").alias("page_id"), "title", "lang", F.size("stylesheets").alias("n_sheets"))
 
 
 @query("select page_id, unnest(regexp_extract_all(html, '<style>(.*?)</style>', 1)) as css from pages")
 def stylesheets(spark, sf_dir):
     """PAR4: the texts of a page's style elements."""
-    return pages(spark, sf_dir).meta.select(F.col("doc_id").alias("page_id"), F.explode("stylesheets").alias("css"))
+    return pages(spark, sf_dir, keep=False).meta.select(F.col("doc_id").alias("page_id"), F.explode("stylesheets").alias("css"))
 
 
 @query("select page_id, sha256(html) as source_digest from pages")
@@ -84,20 +85,20 @@ def source_digest(spark, sf_dir):
 @query(r"""select page_id, u as href, count(*) as n from (select page_id, unnest(regexp_extract_all(html, '<a href="([^"]*)"', 1)) as u from pages) group by page_id, u""")
 def link_targets(spark, sf_dir):
     """AG5: targets of links, by the runs that carry them."""
-    x = pages(spark, sf_dir).extras.where("kind = 'link_target'")
+    x = pages(spark, sf_dir, keep=False).extras.where("kind = 'link_target'")
     return x.groupBy(F.col("doc_id").alias("page_id"), F.col("text").alias("href")).agg(F.count("*").alias("n"))
 
 
 @query("with " + SEGMENTS + "select page_id, t as text, (row_number() over (partition by page_id order by min(k)) - 1)::int as payload_id from texts where t <> '' group by page_id, t")
 def text_dedupe(spark, sf_dir):
     """AG3: a page's texts once each, numbered by first use."""
-    return pages(spark, sf_dir).content.where("kind = 'text_utf8'").select(F.col("doc_id").alias("page_id"), "text", "payload_id")
+    return pages(spark, sf_dir, keep=False).content.where("kind = 'text_utf8'").select(F.col("doc_id").alias("page_id"), "text", "payload_id")
 
 
 @query("with " + SEGMENTS + "select page_id, sum(strlen(t))::bigint as bytes, count(*) as payloads from (select distinct page_id, t from texts where t <> '') group by page_id")
 def text_bytes(spark, sf_dir):
     """AG7: bytes of a page's texts."""
-    c = pages(spark, sf_dir).content.where("kind = 'text_utf8'")
+    c = pages(spark, sf_dir, keep=False).content.where("kind = 'text_utf8'")
     return c.groupBy(F.col("doc_id").alias("page_id")).agg(F.sum(F.octet_length("text")).alias("bytes"), F.count("*").alias("payloads"))
 
 
@@ -248,7 +249,8 @@ def coverage_error(spark, sf_dir):
 @query("select l_orderkey, last(l_shipdate order by (l_returnflag, l_linenumber, l_shipdate)) as shipdate from lineitem group by l_orderkey")
 def last_wins(spark, sf_dir):
     """WN7: the value of the row that comes last in an order."""
-    return table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.max_by("l_shipdate", F.struct("l_returnflag", "l_linenumber", "l_shipdate")).alias("shipdate"))
+    d = table(spark, sf_dir, "lineitem").withColumn("shipdate", F.col("l_shipdate"))
+    return R.last_wins(d, ["l_orderkey"], ["shipdate"], ["l_returnflag", "l_linenumber", "l_shipdate"])
 
 
 @query("select distinct c.c_custkey, o.o_orderpriority from customer c join orders o on c.c_custkey = o.o_custkey where (c.c_mktsegment, o.o_orderpriority) not in (select ('BUILDING', '1-URGENT') union all select ('MACHINERY', '5-LOW'))")
