@@ -1,4 +1,5 @@
 from vellumspark import api
+from vellumspark.sources.fonts import Font
 from vellumspark.streaming import sources
 
 
@@ -21,6 +22,31 @@ def test_command_line(spark, tmp_path, capsys):
     assert api.main([], spark) == api.main(["compile", "x"], spark) == api.main(["validate", "x", "--out", "y"], spark) == 2
 
 
+def test_text_compiles_to_a_valid_package(spark, tmp_path, capsys):
+    from .test_atlas import png
+    from .test_fonts import font
+
+    (tmp_path / "in").mkdir()
+    (tmp_path / "fonts").mkdir()
+    (tmp_path / "img").mkdir()
+    (tmp_path / "in/a.md").write_text("AB CA\n\n![](x.png)\n\nBZ")
+    (tmp_path / "fonts/f.ttf").write_bytes(font())
+    (tmp_path / "img/x.png").write_bytes(png(4, 2, 3, b"\0" * 26))
+    at = lambda x: f"file://{tmp_path}/{x}"
+    css = tmp_path / "s.css"
+    family = Font(font()).family()
+    css.write_text(f"body, p, div {{ font-family: \"{family or 'Noto Sans'}\" }}")
+    asked = ["compile", at("in"), "--out", at("out"), "--files", "--css", str(css), "--fonts", at("fonts")]
+    assert api.main([*asked, "--images", at("img")], spark) == 0
+    assert "U+005A" in capsys.readouterr().err and (tmp_path / "out/a.pkg").stat().st_size > 100
+    assert api.main(["validate", at("out")], spark) == 0
+    assert api.main(["inspect", at("out")], spark) == 0 and "images images 1" in capsys.readouterr().out
+    assert api.main(asked, spark) == 1 and "image not found: x.png" in capsys.readouterr().err
+    # text without a face for it isn't a valid package
+    assert api.main(["compile", at("in"), "--out", at("none"), "--images", at("img")], spark) == 1
+    assert "self-validation found" in capsys.readouterr().err
+
+
 def test_stream(spark, tmp_path):
     folder = tmp_path / "in"
     folder.mkdir()

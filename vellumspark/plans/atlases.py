@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from math import isfinite
 
 import numpy as np
 import pandas as pd
@@ -33,6 +34,7 @@ def drawn(faces: DataFrame, fonts: Registry, texels: float = TEXELS, padding: in
 
     def draw(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         open_: dict[tuple, Font | str] = {}
+        more = [Font(d) for d in shared.value.supplement]
         for pdf in batches:
             rows = []
             for family, weight, italic, cp in pdf[["family", "weight", "italic", "cp"]].itertuples(index=False):
@@ -43,6 +45,8 @@ def drawn(faces: DataFrame, fonts: Registry, texels: float = TEXELS, padding: in
                     except FontError as e:
                         open_[key] = str(e)
                 font = open_[key]
+                if not isinstance(font, str) and cp not in font.cmap:
+                    font = next((f for f in more if cp in f.cmap), font)
                 if isinstance(font, str):
                     rows.append((*key, cp, None, None, None, None, None, None, font))
                 elif cp not in font.cmap:
@@ -63,6 +67,10 @@ def drawn(faces: DataFrame, fonts: Registry, texels: float = TEXELS, padding: in
 
 def build(corpus: Corpus, fonts: Registry, texels: float = TEXELS, padding: int = PADDING) -> DataFrame:
     """doc_id, font_id, atlas, missing array<int>: an atlas for each face of each document. A face that no font fits has no atlas."""
+    if not (isfinite(texels) and texels > 0):
+        raise ValueError("texels per em must be a positive number")
+    if padding < 1:
+        raise ValueError("padding must be one texel at least")
     used = corpus.codepoints
     glyphs = drawn(used.select("family", "weight", "italic", "cp").distinct(), fonts, texels, padding)
     rows = used.join(glyphs, ["family", "weight", "italic", "cp"]).join(corpus.faces, ["doc_id", "family", "weight", "italic"])
@@ -102,3 +110,8 @@ def build(corpus: Corpus, fonts: Registry, texels: float = TEXELS, padding: int
     schema = corpus.spark.createDataFrame([], f"doc_id long, font_id int, atlas {ATLAS}, missing array<int>").schema
     arrow = to_arrow_schema(schema)
     return by.mapInArrow(assemble, schema)
+
+
+def missing_codepoints(atlases: DataFrame) -> DataFrame:
+    """doc_id, cp: what no face of a document's atlases, nor a supplementary one, has."""
+    return atlases.select("doc_id", F.explode("missing").alias("cp")).distinct()

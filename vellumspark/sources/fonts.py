@@ -8,6 +8,9 @@ from collections.abc import Iterable
 from vellumspark.operators.geometry import Edge
 
 
+from pyspark.sql import SparkSession
+from pyspark.sql import functions as F
+
 
 class FontError(ValueError):
     pass
@@ -302,24 +305,62 @@ def pair_subtable(d: bytes, at: int, used: list[int]) -> dict[tuple[int, int], i
     return out
 
 
+# Family names that mean the default family, and the range of weights.
+DEFAULT_FAMILY = "Noto Sans"
+GENERIC = ("sans-serif", "serif")
+LIGHTEST, HEAVIEST = 100, 900
+#: Bytes of all faces of a registry at most: each Python worker holds them.
+MOST_BYTES = 256_000_000
+
+
+def clamped(weight: int) -> int:
+    return min(max(weight, LIGHTEST), HEAVIEST)
+
+
 class Registry:
-    """Faces by family, weight and slant. The first of equal ones stays."""
+    """Faces by family, weight and slant. The first of equal ones stays. Supplementary faces serve what a face lacks, in order."""
 
     def __init__(self):
         self.faces: dict[tuple[str, int, bool], bytes] = {}
+        self.supplement: list[bytes] = []
 
     def add(self, family: str, weight: int, italic: bool, data: bytes) -> None:
-        self.faces.setdefault((family.lower(), weight, italic), data)
+        self.faces.setdefault((family.lower(), clamped(weight), italic), data)
+        if sum(map(len, [*self.faces.values(), *self.supplement])) > MOST_BYTES:
+            raise FontError(f"faces of more than {MOST_BYTES} bytes")
+
+    def add_file(self, data: bytes) -> None:
+        """A font file under the family, weight and slant that it names."""
+        font = Font(data)
+        os2, head = font.tables.get("OS/2", b""), font.tables["head"]
+        weight = _u16(os2, 4) if len(os2) >= 6 else 700 if _u16(head, 44) & 1 else 400
+        slant = _u16(os2, 62) & 1 if len(os2) >= 64 else _u16(head, 44) >> 1 & 1
+        self.add(font.family() or DEFAULT_FAMILY, weight, bool(slant), data)
 
     def resolve(self, family: str, weight: int, italic: bool) -> bytes:
         """The face, or the one of the nearest weight with the same slant, the heavier of two as near."""
-        found = [(abs(w - weight), -w) for f, w, i in self.faces if f == family.lower() and i == italic]
+        name, weight = (DEFAULT_FAMILY if family.lower() in GENERIC else family).lower(), clamped(weight)
+        found = [(abs(w - weight), -w) for f, w, i in self.faces if f == name and i == italic]
         if not found:
             raise FontError(f"no face {family} {'italic' if italic else 'upright'}")
-        return self.faces[family.lower(), -min(found)[1], italic]
+        return self.faces[name, -min(found)[1], italic]
 
     def families(self) -> list[str]:
         return sorted({f for f, _, _ in self.faces})
 
 
-__all__ = ["Font", "FontError", "Registry"]
+def read_folder(spark: SparkSession, folder: str) -> Registry:
+    """The .ttf files of a folder, in order of path; those below its folder `supplement` are supplementary."""
+    out = Registry()
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.ttf").option("recursiveFileLookup", "true").load(folder)
+    if (files.agg(F.sum("length")).head()[0] or 0) > MOST_BYTES:
+        raise FontError(f"faces of more than {MOST_BYTES} bytes")
+    for r in files.select("path", "content").orderBy("path").toLocalIterator():
+        if "/supplement/" in r["path"]:
+            out.supplement.append(bytes(r["content"]))
+        else:
+            out.add_file(bytes(r["content"]))
+    return out
+
+
+__all__ = ["Font", "FontError", "Registry", "read_folder"]
