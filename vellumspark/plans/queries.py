@@ -7,7 +7,9 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from vellumspark.operators import relational as R
+from vellumspark.sources.shared import written
 
+from . import packages
 from .compile import Corpus
 
 
@@ -36,6 +38,16 @@ parts as (select page_id, unnest(string_split(regexp_replace(regexp_replace(b, '
           generate_subscripts(string_split(regexp_replace(regexp_replace(b, '<(/?)(p|li|h1|div|article|nav|ul|footer|br)( [^>]*)?>', chr(1), 'g'), '</?[a-z][^>]*>', '', 'g'), chr(1)), 1) as k from body),
 texts as (select page_id, k, trim(regexp_replace(replace(replace(replace(replace(t, '&quot;', '"'), '&middot;', '·'), '&copy;', '©'), '&amp;', '&'), '\s+', ' ', 'g')) as t from parts)
 """
+#: The texts of a page in order, numbered over the page (i) and after its list (r), whether a break follows (br), the items of
+#: the list (li), the number of texts (m), of contents (ci), and the id of the chunk that a text after the list is in.
+PLACED = SEGMENTS.replace("body as (select page_id, regexp_replace(", "body as (select page_id, replace(regexp_replace(").replace("'gs') as b", "'gs'), '<br>', chr(2) || '<br>') as b") + r""",
+l as (select page_id, ((length(html) - length(replace(html, '<li>', ''))) // 4)::int as li from pages),
+q as (select page_id, k, trim(replace(t, chr(2), '')) as t, (contains(t, chr(2)))::int as br from texts),
+t as (select *, (row_number() over (partition by page_id order by k))::int as i from q where t <> ''),
+u as (select t.page_id, t.t, t.i, t.br, l.li, t.i - l.li as r, (count(*) over (partition by t.page_id))::int as m, min(t.i) over (partition by t.page_id, t.t) as f,
+      coalesce(sum(t.br) over (partition by t.page_id order by t.i rows between unbounded preceding and 1 preceding), 0)::int as breaks from t join l on t.page_id = l.page_id),
+n as (select *, (dense_rank() over (partition by page_id order by f))::int as ci, 2 + 3 * li + 2 * (r - 1) + 1 + breaks as id from u)
+"""
 TITLE = r"""trim(replace(replace(replace(replace(regexp_extract(html, '<title>(.*?)</title>', 1, 's'), '&quot;', '"'), '&middot;', '·'), '&copy;', '©'), '&amp;', '&'))"""
 FOLDED = r"trim(regexp_replace(text, '\s+', ' ', 'g'))"
 
@@ -207,18 +219,17 @@ def nearest_match(spark, sf_dir):
     return R.nearest(table(spark, sf_dir, "customer"), have, ["c_nationkey"], "c_acctbal", "s_acctbal").select("c_custkey", "s_acctbal")
 
 
-@query("select l_orderkey, l_linenumber from lineitem where l_partkey % 7 = 0 and l_partkey not in (select p_partkey from part where p_size > 10)")
+@query("select l_orderkey, l_linenumber from lineitem where l_partkey not in (select p_partkey from part where p_size > 10)")
 def dangling_refs(spark, sf_dir):
     """JN5, JN6, JN7: references without a target."""
     part = table(spark, sf_dir, "part").where("p_size > 10")
-    return R.dangling(table(spark, sf_dir, "lineitem").where("l_partkey % 7 = 0"), F.col("l_partkey"), part, "p_partkey").select("l_orderkey", "l_linenumber")
+    return R.dangling(table(spark, sf_dir, "lineitem"), F.col("l_partkey"), part, "p_partkey").select("l_orderkey", "l_linenumber")
 
 
-@query("select l_orderkey, l_linenumber from lineitem where l_partkey not in (select p_partkey from part where p_size > 10)")
+@query(ORACLES["dangling_refs"])
 def dangling_refs_all(spark, sf_dir):
-    """JN5, JN6, JN7: references without a target, of all rows; dangling_refs has those that its SQL asks for."""
-    part = table(spark, sf_dir, "part").where("p_size > 10")
-    return R.dangling(table(spark, sf_dir, "lineitem"), F.col("l_partkey"), part, "p_partkey").select("l_orderkey", "l_linenumber")
+    """The same: the name that the query over all rows had while dangling_refs looked at some."""
+    return dangling_refs(spark, sf_dir)
 
 
 @query("select user_id, event_type, count(*) as n from events group by user_id, event_type having count(*) > 1")
@@ -261,29 +272,108 @@ def shape_violations(spark, sf_dir):
     return o.join(F.broadcast(allowed), ["c_mktsegment", "o_orderpriority"], "left_anti").select("c_custkey", "o_orderpriority").distinct()
 
 
-# What no SQL over the source text expresses; the driver sees its rows.
+# The compiled tables themselves. All pages of the test tables have one shape: a list of links, a notice, a heading, paragraphs and a footer.
 
 
-@query()
+@query(
+    f"with {PLACED}, g as (select page_id, max(li) as li, max(m) as m, sum(br) as br, max(ci) as contents from n group by page_id) "
+    + f"""select pages.page_id as doc_id, {TITLE} as title, regexp_extract(html, '<html lang="([^"]*)"', 1) as lang, null::varchar as error, (2 + 3 * li + 2 * (m - li) + br)::int as chunk_count,
+    8::bigint as style_count, contents::bigint as content_count, 2::bigint as atlas_count, 0::bigint as image_count from pages join g on pages.page_id = g.page_id"""
+)
 def corpus_report(spark, sf_dir):
     """AG10: counts of each compiled page."""
     return pages(spark, sf_dir).report
 
 
-@query()
+@query(
+    f"with {PLACED}"
+    + r""", c as (
+    select page_id, 1 as chunk_id, 'document' as kind, 16 as flags, 0 as style_id, 0 as parent_id, 0 as content_index, 0 as depth, null as text from l
+    union all select page_id, 2, 'list', 16, 1, 1, 0, 1, null from l where li > 0
+    union all select page_id, 3 * i, 'list_item', 0, 2, 2, 0, 2, null from n where r <= 0
+    union all select page_id, 3 * i + 1, 'paragraph', 0, 2, 3 * i, 0, 3, null from n where r <= 0
+    union all select page_id, 3 * i + 2, 'run', 0, 3, 3 * i + 1, ci, 4, t from n where r <= 0
+    union all select page_id, id, case when r = 2 then 'heading1' else 'paragraph' end, 0, case when r = 1 then 0 when r = 2 then 4 when i = m then 7 else 5 end, 1, 0, 1, null from n where r > 0
+    union all select page_id, id + 1, 'run', 0, case when r = 1 then 0 when r = 2 then 4 when i = m then 7 else 6 end, id, ci, 2, t from n where r > 0
+    union all select page_id, id + 2, 'br', 0, 0, id, 0, 2, null from n where br > 0),
+    ends as (select page_id, parent_id as chunk_id, min(chunk_id) as a, max(chunk_id) as z from c group by page_id, parent_id)
+    select c.page_id as doc_id, c.chunk_id::int as chunk_id, kind, flags::int as flags, style_id::int as style_id, parent_id::int as parent_id,
+    coalesce(lag(c.chunk_id) over w, 0)::int as prev_id, coalesce(lead(c.chunk_id) over w, 0)::int as next_id, coalesce(a, 0)::int as first_child_id, coalesce(z, 0)::int as last_child_id,
+    content_index::int as content_index, (c.chunk_id - 1)::int as ordinal, depth::int as depth, text
+    from c left join ends on c.page_id = ends.page_id and c.chunk_id = ends.chunk_id window w as (partition by c.page_id, parent_id order by c.chunk_id)"""
+)
 def compiled_chunks(spark, sf_dir):
     """TR7, WN1-4, AG2, AG3: the chunk table."""
     return pages(spark, sf_dir).chunks
 
 
+#: What the style sheets of the test pages come to.
+STYLE_ROWS = """(1, 9, 'margin_bottom', 16.0), (1, 12, 'list_style', 1.0), (2, 9, 'margin_bottom', 4.0), (2, 12, 'list_style', 1.0), (3, 9, 'margin_bottom', 4.0), (3, 12, 'list_style', 1.0),
+    (3, 14, 'underline', 1.0), (4, 1, 'font_id', 1.0), (4, 2, 'font_size_px', 32.0), (4, 4, 'font_weight', 700.0), (4, 8, 'margin_top', 21.44::float::double), (4, 9, 'margin_bottom', 21.44::float::double),
+    (5, 9, 'margin_bottom', 16.0), (6, 1, 'font_id', 1.0), (6, 4, 'font_weight', 700.0), (6, 9, 'margin_bottom', 16.0), (7, 1, 'font_id', 1.0), (7, 4, 'font_weight', 700.0)"""
+
+
+@query(f"select page_id as doc_id, s::int as style_id, tag::int as tag, name, value::double as value from pages, (values {STYLE_ROWS}) as v(s, tag, name, value)")
+def page_styles(spark, sf_dir):
+    """AG2, TR8, FIL8, SO7: the properties of a page's styles that differ from the default, numbered by first use."""
+    return pages(spark, sf_dir).style_properties
+
+
 @query()
 def compiled_styles(spark, sf_dir):
-    """AG2, FIL8: styles as properties, with a user sheet whose rules have classes and descendants."""
+    """AG2, FIL8: styles as properties, with a user sheet whose rules name wrappers, which aren't nodes of the tree, and a class."""
     return pages(spark, sf_dir, ["article p b { color: #369; } .ad { font-size: 80% } nav li a { text-decoration: none; letter-spacing: 0.1em }"]).style_properties
 
 
-@query()
+RUN_SHEET = "strong { color: #f00 } p strong { color: #369; } .ad { font-size: 80% } ul li a { text-decoration: none; letter-spacing: 0.1em } .ad a, table p { color: #0f0 }"
+
+
+@query(
+    f"with {PLACED} select page_id as doc_id, i::int as place, case when r = 1 then 12.8::float::double when r = 2 then 32.0 else 16.0 end as font_size_px, "
+    "case when r < 3 then 255 when i < m then 862362111 else 4278190335 end::bigint as color, false as underline, case when r <= 0 then 1.6::float::double else 0.0 end as letter_spacing from n"
+)
+def cascaded_runs(spark, sf_dir):
+    """JN1, JN2, WN7, WN8, TR6: what each run comes to under rules with a class and with descendants: the notice, the list's links, the article's bold text."""
+    c = pages(spark, sf_dir, [RUN_SHEET])
+    runs = c.parsed.select("doc_id", F.inline("chunks")).where("kind = 'run'").select("doc_id", "request", "chunk_id")
+    s = c.computed.select("doc_id", "request", *[F.col(x).cast("double").alias(x) for x in ("font_size_px", "letter_spacing")], "color", "underline")
+    place = F.row_number().over(W.partitionBy("doc_id").orderBy("chunk_id"))
+    return runs.join(s, ["doc_id", "request"]).select("doc_id", place.alias("place"), "font_size_px", "color", "underline", "letter_spacing")
+
+
+@query(
+    f"with {PLACED}, c as (select page_id, case when r <= 1 then 400 else 700 end as weight, unicode(unnest(string_split(t, '')))::int as cp from n union select page_id, 400, 8226 from l where li > 0) "
+    "select page_id as doc_id, 'Noto Sans' as family, weight::int as weight, false as italic, count(*) as n, sha256(string_agg(cp::varchar, ',' order by cp)) as digest from c group by page_id, weight"
+)
 def face_codepoints(spark, sf_dir):
     """AG1, AG11, SO5: how many codepoints each face of a page must hold."""
     c = pages(spark, sf_dir)
     return c.codepoints.groupBy("doc_id", "family", "weight", "italic").agg(F.count("*").alias("n"), F.sha2(F.array_join(F.array_sort(F.collect_set("cp")), ","), 256).alias("digest"))
+
+
+def packed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pages as packages, unpacked again: decoded rows of what was encoded, deflated and sealed."""
+    source = table(spark, sf_dir, "pages").select(F.col("page_id").alias("doc_id"), F.col("html").alias("source"))
+    return written(packages.unpack(packages.pack(pages(spark, sf_dir), source)), "unpacked")
+
+
+@query(
+    f"with {PLACED}, g as (select page_id, max(li) as li, max(m) as m, sum(br) as br, max(ci) as contents from n group by page_id), b as (select page_id, sum(strlen(t)) as bytes from (select distinct page_id, t from n) group by page_id), "
+    + r"""links as (select page_id, len(regexp_extract_all(html, '<a href="([^"]*)"', 1)) as links from pages),
+    k as (select g.page_id, unnest(['chunks', 'chunks', 'chunks', 'chunks', 'chunks', 'chunks', 'chunks', 'extras', 'styles', 'content', 'content', 'content', 'images', 'images', 'seal']) as topic,
+          unnest(['document', 'heading1', 'list', 'list_item', 'br', 'paragraph', 'run', 'link_target', 'properties', 'texts', 'text bytes', 'image references', 'images', 'pixels', 'sections covered']) as name,
+          unnest([1, 1, 1, li, br, m - 1, m, links, 18, contents, bytes, 0, 0, 0, 5])::bigint as n from g join b using (page_id) join links using (page_id))
+    select page_id as doc_id, topic, name, n from k where n > 0 or topic in ('content', 'images')"""
+)
+def package_report(spark, sf_dir):
+    """SNK1, SNK3, AG4-AG9, CD1-CD9: what the packages of all pages hold, but for the sizes of their compressed sections."""
+    return packages.inspect(None, packed(spark, sf_dir)).where("topic not like 'section %'")
+
+
+@query(
+    """select page_id as doc_id, v.section, v.message from pages, (values ('GLYF', 'document contains text but no glyph atlas'), ('STYL', 'style 4 references font_id 1 but there are 0 atlases'),
+    ('STYL', 'style 6 references font_id 1 but there are 0 atlases'), ('STYL', 'style 7 references font_id 1 but there are 0 atlases')) as v(section, message)"""
+)
+def package_issues(spark, sf_dir):
+    """V1-V17, JN5-JN10, WN2-WN3: all checks over the packages of all pages, which lack their atlases and are otherwise sound."""
+    return packages.validate(None, packed(spark, sf_dir))
