@@ -430,3 +430,92 @@ def test_components(spark):
             up[q] = p
     got = {r["node"]: r["component"] for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {x: root(x) for x in up}
+
+
+def test_segments_take_linear_time():
+    import time
+
+    import numpy as np
+
+    began = time.perf_counter()
+    for s in (np.random.default_rng(1).normal(-0.5, 1, 1_000_000), np.tile([1.0, -1.5], 500_000), np.tile([1.0, -0.99], 500_000)):
+        toxicity.segments(s)
+    assert time.perf_counter() - began < 30
+
+
+def test_long_values_and_days():
+    import datetime as dt
+    import time
+
+    from vellumspark.llm import pseudonyms
+
+    began = time.perf_counter()
+    for value in ("ab3Z" * 250_000, "0af" * 300_000, "x" * 127, "y" * 128, "z" * 129):
+        text = f"password={value} end"
+        new, found = pseudonymised = pseudonyms.pseudonymise(text, b"k")
+        assert [f[0] for f in found] == ["secret"] and len(new) == len(text) and new != text and pseudonymised == pseudonyms.pseudonymise(text, b"k")
+    assert pseudonyms.pseudonymise("%" * 1_000_000, b"k") == ("%" * 1_000_000, [])
+    assert time.perf_counter() - began < 60
+    # each chunk is permuted for itself: different values stay different
+    assert len({pseudonyms.radix("a" * 200 + c, b"k", b"secret") for c in "abcdefghij"}) == 10
+    for text in ("1899-12-31", "2120-01-01", "0001-01-01", "9999-12-31"):
+        new, found = pseudonyms.pseudonymise(text, b"k")
+        assert found == [("date", 0, 10)] and dt.date.fromisoformat(new) and not 1900 <= int(new[:4]) <= 2099
+    days = range(pseudonyms.LAST_DAY - 3000, pseudonyms.LAST_DAY + 1)
+    assert len({pseudonyms.day_for(d, b"k") for d in days}) == len(days)
+
+
+def test_long_ranges_of_two_letters_differ():
+    import numpy as np
+
+    from vellumspark.llm.textkernel import spans
+
+    word = "a"
+    for _ in range(12):
+        word += word.translate(str.maketrans("ab", "ba"))
+    data = np.frombuffer((word + word.translate(str.maketrans("ab", "ba"))).encode(), np.uint8)
+    h = spans(data, np.array([0, len(word)]), np.array([len(word), 2 * len(word)]))
+    assert h[0] != h[1]
+
+
+def test_sample_is_that_of_the_smallest_hashes(spark):
+    from pyspark.sql import functions as F
+
+    from vellumspark.llm.fitting import sample_ids
+
+    rows = spark.range(3000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 10 == 0, "a").otherwise("b").alias("y"))
+    ranked = sorted((h, i, y) for i, y, h in rows.select("doc_id", "y", F.xxhash64("doc_id")).collect())
+    for each, most in ((200, 1000), (500, 1000), (5000, 100)):
+        want = {y: [i for _, i, z in ranked if z == y][: min(each, most // 2)] for y in "ab"}
+        got = sample_ids(rows, "y", each, most).collect()
+        assert {y: {r["doc_id"] for r in got if r["y"] == y} for y in "ab"} == {y: set(v) for y, v in want.items()}
+    assert sample_ids(rows.where("false"), "y", 5, 5).collect() == []
+
+
+def test_sieve_joins_are_joins(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    from vellumspark.llm import common
+
+    big = spark.range(500).select((F.col("id") % 200).alias("k"), F.when(F.col("id") % 7 > 0, F.col("id")).alias("v"))
+    small = spark.range(0, 400, 3).select(F.col("id").alias("k"), (F.col("id") * 2).alias("w"))
+    for bits in (25, 0):  # 0: no sieve is wide enough
+        monkeypatch.setattr(common, "BROADCAST_BYTES", 0)
+        monkeypatch.setattr(common, "SIEVE_BITS", max(bits, 7))
+        for how in ("inner", "left", "left_semi", "left_anti"):
+            want = sorted(map(tuple, big.join(small, "k", how).collect()), key=str)
+            assert sorted(map(tuple, common.join_sifted(big, small, ["k"], how).collect()), key=str) == want
+
+
+def test_slots_are_spread(spark):
+    """In every run of the mix each source has about its share of the slots, as low discrepancy asks."""
+    from pyspark.sql import functions as F
+
+    from vellumspark.llm import mixing
+
+    plan = spark.createDataFrame([(0, 0, 500, 500), (1, 500, 700, 200), (2, 700, 1000, 300)], "k int, lo long, hi long, need long").withColumn("source_size", F.lit(1))
+    slots = sorted((r["place"], r["k"]) for r in mixing.schedule(plan, 1000).collect())
+    assert len(slots) == 1000
+    for k, share in ((0, 0.5), (1, 0.2), (2, 0.3)):
+        for n in (50, 200, 500, 900):
+            assert abs(sum(1 for _, x in slots[:n] if x == k) - share * n) < 4

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import re
 import tempfile
 import uuid
@@ -61,7 +62,13 @@ def discard(*tables: DataFrame) -> None:
         path = jvm.org.apache.hadoop.fs.Path(df._kept_at)
         path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
     for df in tables[:1]:
-        df.sparkSession._jvm.System.gc()
+        tidy(df.sparkSession)
+
+
+def tidy(spark: SparkSession) -> None:
+    """Have the driver collect garbage: shuffle files of plans that nothing refers to go with it."""
+    gc.collect()
+    spark._jvm.System.gc()
 
 
 @contextmanager

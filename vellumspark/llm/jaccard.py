@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import components, discard, fits, join_bounded, join_sifted, keep, read, sieve, small_batches, small_enough
+from .common import components, discard, fits, join_bounded, join_sifted, keep, read, sieve, small_batches, small_enough, tidy
 from .textkernel import U, blocks, mix, shingles, words
 
 #: Shingles that the orders place last, by count: this many at most, and only from this count on. Any order gives right
@@ -245,6 +245,10 @@ def similarity_classes(docs: DataFrame, words_each: int = 5, percent: int = 80)
     nodes = alone.unionByName(among)
 
     entries = keep(index(nodes), "index")
+    tidy(spark)
+    # the first prefixes, most of the table, are in the index now
+    nodes, rows, full = keep(nodes.select("node", "n", "p1", "p2"), "prefixes"), keep(signed.select("doc_id", "n", "s1", "s2"), "rows"), signed
+    discard(full)
     star = entries.where((F.col("node") > F.col("lead.node")) & reach("n", "pos", "lead.n", "lead.pos", percent))
     star = keep(star.select(F.col("lead.node").alias("a"), F.col("node").alias("b")).distinct(), "star")
     tested = compared(docs, confirmed(star, nodes, percent), words_each, percent, differ=True)
@@ -296,7 +300,8 @@ def similarity_classes(docs: DataFrame, words_each: int = 5, percent: int = 80)
     named = classes.join(found, "node", "left").where("component is not null or copies > 1")
     named = keep(named.select("n", "s1", "s2", F.coalesce("component", "node").alias("component_id")), "named")
     discard(classes, found)
-    rows = join_sifted(signed.select("doc_id", F.when(F.col("doc_id").isNotNull() & (F.col("n") > 0), F.col("n")).alias("n"), "s1", "s2", F.col("n").alias("n_shingles")), named, ["n", "s1", "s2"], "left")
+    discard(nodes)
+    rows = join_sifted(rows.select("doc_id", F.when(F.col("doc_id").isNotNull() & (F.col("n") > 0), F.col("n")).alias("n"), "s1", "s2", F.col("n").alias("n_shingles")), named, ["n", "s1", "s2"], "left")
     return rows.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
