@@ -244,6 +244,7 @@ def similarity_classes(docs: DataFrame, words_each: int = 5, percent: int = 80)
     among = join_sifted(full, copied, ["n", "s1", "s2"]).where("doc_id = node").dropDuplicates(["n", "s1", "s2"]).select(*alone.columns)
     nodes = alone.unionByName(among)
 
+    tidy(spark)
     entries = keep(index(nodes), "index")
     tidy(spark)
     # the first prefixes, most of the table, are in the index now
@@ -314,10 +315,10 @@ def index(nodes: DataFrame) -> DataFrame:
     entries = nodes.select("node", "n", "plain", F.posexplode("p0").alias("pos", "token"))
     members = W.partitionBy("token")
     entry = F.struct("node", "n", "pos")
-    rare = entries.where("pos < plain").withColumn("members", F.count("*").over(members)).withColumn("lead", F.min(entry).over(members))
-    often = entries.where("pos >= plain")
+    rare = entries.where("pos < plain").drop("plain").withColumn("members", F.count("*").over(members)).withColumn("lead", F.min(entry).over(members))
+    often = entries.where("pos >= plain").drop("plain")
     leads = often.groupBy("token").agg(F.count("*").alias("members"), F.min(entry).alias("lead"))
-    return rare.unionByName(often.join(F.broadcast(leads), "token")).where("members > 1").drop("members", "plain")
+    return rare.unionByName(often.join(F.broadcast(leads), "token")).where("members > 1").drop("members")
 
 
 def apart(tested: DataFrame, labels: DataFrame) -> tuple[DataFrame, DataFrame]:
