@@ -152,12 +152,14 @@ def search(vectors: DataFrame, k: int = 20, every: int = 20, rerank: int = RERAN
 
     Ties go to the smaller vec_id. Vectors null, empty, zero, with null, NaN or infinite components, or of another length
     than most, take no part; nor do null ids. Rows with the query's own id aren't its candidates; other repeated ids are
-    candidates each. Fewer than k candidates: all of them. No usable vector: no rows. Other columns aren't read.
+    candidates each. Rows that repeat a query's id with another vector are queries of their own, each with its ranking from 1
+    on under that id; repeats of one vector are one query. Fewer than k candidates: all of them. No usable vector: no rows.
+    Other columns aren't read.
     """
     spark = vectors.sparkSession
     v = keep(usable(vectors), "vectors")
     n = v.count()
-    schema = "query_id long, vec_id long, score double"
+    schema = "query_id long, query long, vec_id long, score double"
     if not n:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     queries = v.where(F.col("vec_id") % every == 0)
@@ -178,23 +180,23 @@ def search(vectors: DataFrame, k: int = 20, every: int = 20, rerank: int = RERAN
 
     def meet(rows: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
         if not len(rows) or not len(asked):
-            return pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype({"query_id": "int64", "vec_id": "int64"})
+            return pd.DataFrame({"query_id": [], "query": [], "vec_id": [], "score": []}).astype({"query_id": "int64", "query": "int64", "vec_id": "int64"})
         rows = rows.sort_values("vec_id", kind="stable")
         # of equal vectors only the k smallest ids, and the query's own, can be among the k nearest
-        rows = rows[rows.groupby("x").cumcount() <= k]
+        rows = rows[rows.groupby("x")["vec_id"].rank("dense") <= k + 1]
         ids = rows["vec_id"].to_numpy(np.int64)
         x = np.frombuffer(b"".join(rows["x"]), np.float64).reshape(len(rows), -1)
         codes = np.frombuffer(b"".join(rows["codes"]), np.uint8).reshape(len(rows), -1)
         q = np.stack(asked["v"].to_numpy()).astype(np.float64)
-        qid = asked["vec_id"].to_numpy(np.int64)
-        out = [(np.full(len(at), qid[i]), ids[at], s) for i, at, s in scan(shared.value, q, qid, x, ids, np.ascontiguousarray(codes), k, rerank)]
-        return pd.DataFrame({"query_id": np.concatenate([o[0] for o in out]), "vec_id": np.concatenate([o[1] for o in out]), "score": np.concatenate([o[2] for o in out])})
+        qid, own = asked["vec_id"].to_numpy(np.int64), asked["query"].to_numpy(np.int64)
+        out = [(np.full(len(at), qid[i]), np.full(len(at), own[i]), ids[at], s) for i, at, s in scan(shared.value, q, qid, x, ids, np.ascontiguousarray(codes), k, rerank)]
+        return pd.DataFrame({c: np.concatenate([o[k] for o in out]) for k, c in enumerate(("query_id", "query", "vec_id", "score"))})
 
     coded = keep(v.mapInArrow(encode, "vec_id long, x binary, codes binary"), "codes")
     left = coded.withColumn("rb", F.pmod(F.xxhash64("vec_id", "x"), F.lit(row_blocks)).cast("int")).withColumn("qb", F.explode(F.array(*map(F.lit, range(query_blocks))) if query_blocks <= 64 else F.sequence(F.lit(0), F.lit(query_blocks - 1))))
-    right = queries.dropDuplicates(["vec_id", "v"]).withColumn("qb", F.pmod(F.xxhash64("vec_id"), F.lit(query_blocks)).cast("int")).withColumn("rb", F.explode(F.sequence(F.lit(0), F.lit(row_blocks - 1))))
+    right = queries.dropDuplicates(["vec_id", "v"]).withColumn("query", F.xxhash64("v")).withColumn("qb", F.pmod(F.xxhash64("vec_id"), F.lit(query_blocks)).cast("int")).withColumn("rb", F.explode(F.sequence(F.lit(0), F.lit(row_blocks - 1))))
     best = left.groupBy("rb", "qb").cogroup(right.groupBy("rb", "qb")).applyInPandas(meet, schema)
-    line = W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    line = W.partitionBy("query_id", "query").orderBy(F.desc("score"), "vec_id")
     return best.withColumn("rank", F.row_number().over(line)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
