@@ -52,12 +52,16 @@ def next_buckets(heads: DataFrame) -> DataFrame:
 
 
 def pairs(docs: DataFrame) -> DataFrame:
-    """docs(doc_id, text, canon, ...) with the columns of the next row as next_*: by doc_id, then text; the first after the last.
+    """docs(doc_id, text, canon, ...) with the columns of the next row as next_*: by doc_id, then a hash of the text; the first after the last.
 
-    Texts shuffle once, by bucket of ids; the first row of each bucket also goes to the bucket before. Null ids come last.
+    Texts shuffle once, by bucket of ids; the first row of each bucket also goes to the bucket before. Null ids come last, in
+    buckets of their own by the leading bits of that hash, as many as their number asks for.
     """
-    spare = (1 << 62) // IDS
-    docs = docs.withColumn("bucket", F.coalesce(F.floor(F.col("doc_id") / IDS), F.lit(spare)).cast("long"))
+    bits = (docs.where("doc_id is null").count() // IDS).bit_length()
+    spare = F.lit((1 << 63) // IDS)
+    if bits:
+        spare += F.shiftright(F.xxhash64("text"), 64 - bits) + (1 << bits - 1)
+    docs = docs.withColumn("bucket", F.coalesce(F.expr(f"doc_id div {IDS}"), spare).cast("long"))
     heads = keep(docs.groupBy("bucket").agg(F.min(F.struct(F.coalesce("doc_id", F.lit((1 << 63) - 1)).alias("id"), F.xxhash64("text").alias("h"))).alias("x")).select("bucket", "x.id", "x.h"), "heads")
     order = next_buckets(heads.withColumn("b", F.col("bucket").cast("double")))
     end = heads.agg(F.max("bucket")).head()[0]
@@ -80,8 +84,9 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     canonical bytes are compared; a bucket that holds different ones (a collision) adds the SHA-256 of the canonical text to
     the fingerprints in it. An exact digest knows no degrees: likeness is 1.0 for equal canonical texts and else 0.0.
 
-    Null text: empty. One document is its own next. Repeated rows follow one another. Null ids come last. Empty table: no
-    rows. Other columns aren't read. Texts that differ in case, white space or compatibility forms alone are equal.
+    Null text: empty. One document is its own next. Repeated rows follow one another, rows that share an id in the order of a
+    hash of their texts. Null ids come last, ordered likewise. Empty table: no rows. Other columns aren't read. Texts that
+    differ in case, white space or compatibility forms alone are equal.
     """
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     d = d.withColumn("canon", canonical(F.col("text"))).withColumn("hash", wide(F.col("canon")))
