@@ -62,6 +62,20 @@ def test_next_document_over_sparse_ids(spark):
         assert r["edited_sha256"] == hashlib.sha256((t[: len(t) - len(t) // 2] + n[: len(t) // 2]).encode()).hexdigest()
 
 
+def test_next_document_over_null_ids(spark, monkeypatch):
+    monkeypatch.setattr(fingerprint, "IDS", 4)
+    ids = [-9, -4, -1, 0, 3, 4, 2**62 + 5, 2**63 - 2] + [None] * 60
+    df = spark.createDataFrame([(i, f"text {n // 2} of them") for n, i in enumerate(ids)], "doc_id long, text string")
+    rows = sorted(((r[0] is None, r[0] or 0, r[2], r[1]) for r in df.selectExpr("doc_id", "text", "xxhash64(text)").collect()))
+    want = []
+    for k, (null, i, _, t) in enumerate(rows):
+        after = rows[(k + 1) % len(rows)][3]
+        edited = t[: len(t) - len(t) // 2] + after[: len(t) // 2]
+        want.append((null, i, hashlib.sha256(edited.encode()).hexdigest()))
+    got = [(r["doc_id"] is None, r["doc_id"] or 0, r["edited_sha256"]) for r in fingerprint.fingerprints(df).collect()]
+    assert sorted(got) == sorted(want)
+
+
 # mixing
 
 
@@ -137,6 +151,15 @@ def test_search_of_few(spark):
     assert [tuple(r) for r in ann.search(two).collect()] == [(0, 1, 1, 5.0)]
 
 
+def test_search_of_repeated_ids(spark):
+    rows = [(0, [1.0, 0.0]), (0, [0.0, 1.0]), (0, [0.0, 1.0]), (1, [3.0, 1.0]), (2, [2.0, 5.0]), (2, [1.0, 1.0])]
+    got = ann.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), k=2).collect()
+    assert sorted(map(tuple, got)) == [(0, 1, 1, 3.0), (0, 1, 2, 5.0), (0, 2, 1, 1.0), (0, 2, 2, 2.0)]
+    rows = [(0, [1.0, 2.0])] * 30 + [(i, [1.0, 2.0]) for i in (3, 2, 1)]
+    got = ann.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), k=2).collect()
+    assert sorted(map(tuple, got)) == [(0, 1, 1, 5.0), (0, 2, 2, 5.0)]
+
+
 # packing
 
 
