@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import ann, fingerprint, jaccard, language, linededup, mixing, packing, pseudonyms, quality, toxicity
+from . import ann, codes, collocations, fingerprint, jaccard, language, linededup, mixing, packing, pseudonyms, quality, simhash, toxicity
 
 QUERIES = {
     "op1_ann": ann.query,
@@ -15,5 +15,8 @@ QUERIES = {
     "op8_pseudonyms": pseudonyms.query,
     "op9_line_dedup": linededup.query,
     "op10_best_fit": packing.query,
+    "op11_simhash": simhash.query,
+    "op12_vector_codes": codes.query,
+    "op13_collocations": collocations.query,
 }
-ORACLES = {"op3_source_mix": mixing.ORACLE}
+ORACLES = {"op3_source_mix": mixing.ORACLE, "op12_vector_codes": codes.ORACLE, "op13_collocations": collocations.ORACLE}
