@@ -14,13 +14,13 @@ from vellumspark.plans.compile import Corpus
 from vellumspark.sources import documents
 from vellumspark.sources.fonts import Registry
 from vellumspark.sources.fonts import read_folder as read_fonts
-from vellumspark.sources.shared import written
+from vellumspark.sources.shared import scope, written
 
 USAGE = """usage: python -m vellumspark.api compile INPUTS --out FOLDER [--files] [--css FILE]... [--fonts FOLDER] [--images FOLDER]
        python -m vellumspark.api validate PACKAGES
        python -m vellumspark.api inspect PACKAGES
 INPUTS: files or a pattern of .md, .markdown, .html, .htm. PACKAGES: a Parquet folder of (doc_id, bytes), or a folder of package
-files, which --files writes. FONTS: .ttf files, supplementary ones in its folder `supplement`. IMAGES: what sources of images name."""
+files, which --files writes. FOLDER may be -, for the package of one document on standard output. FONTS: .ttf files, supplementary ones in its folder `supplement`. IMAGES: what sources of images name."""
 
 
 def read_corpus(spark: SparkSession, path: str) -> DataFrame:
@@ -80,6 +80,11 @@ def main(args: list[str], spark: SparkSession | None = None) -> int:
             given[rest[0]] = rest[1]
         rest = rest[2:]
     spark = spark or SparkSession.builder.getOrCreate()
+    with scope():  # tables of the plans go when the command is done
+        return run(spark, command, path, given, sheets, as_files)
+
+
+def run(spark: SparkSession, command: str, path: str, given: dict[str, str], sheets: list[str], as_files: bool) -> int:
     if command == "compile":
         if "--out" not in given:
             print(USAGE, file=sys.stderr)
@@ -108,14 +113,21 @@ def compile_files(spark: SparkSession, path: str, out: str, sheets: list[str], f
     if docs.where("error = 'unknown extension'").head() is not None:
         print("unknown extension", file=sys.stderr)
         return 2
+    if out == "-" and len(docs.limit(2).collect()) > 1:
+        print("one document at a time goes to standard output", file=sys.stderr)
+        return 2
     registry = read_fonts(spark, fonts) if fonts else None
     files = image_plans.read_folder(spark, images) if images else spark.createDataFrame([], "path string, content binary")
     corpus = Corpus(docs, sheets)
     atlases = written(atlas_plans.build(corpus, registry), "atlases") if registry else None
-    done = written(packages.checked(packages.pack(corpus, docs, atlases, written(image_plans.load(corpus, files), "images"))), "compiled", None if as_files else out)
-    if as_files:
+    done = written(packages.checked(packages.pack(corpus, docs, atlases, written(image_plans.load(corpus, files), "images"))), "compiled", None if as_files or out == "-" else out)
+    if as_files or out == "-":
         name = F.regexp_replace(F.element_at(F.split("path", "/"), -1), r"\.[^.]*$", "")
-        packages.write_files(done.join(docs.select("doc_id", name.alias("name")), "doc_id"), out)
+        named = done.join(docs.select("doc_id", name.alias("name")), "doc_id")
+        if out != "-":
+            packages.write_files(named, out)
+        elif rows := named.where("bytes is not null").limit(1).collect():
+            sys.stdout.buffer.write(rows[0]["bytes"])
     if atlases is not None:
         for r in atlas_plans.missing_codepoints(atlases).groupBy("doc_id").agg(F.sort_array(F.collect_set("cp")).alias("cps")).toLocalIterator():
             print(f"{r['doc_id']}: no face has {' '.join(f'U+{c:04X}' for c in r['cps'])}", file=sys.stderr)

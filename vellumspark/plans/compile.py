@@ -3,26 +3,23 @@
 Parsing and partitioning run once per document in Python (sources.documents); the parsed table, and the styles that requests
 come to, are written to the shared folder once and read by column. Matching rules, the cascade, sharing of styles
 and texts, ordering and counting are relational, keyed by doc_id throughout, so that one exchange by doc_id serves each view.
-Only inheritance folds over a document's requests in Python: a request's sizes depend on those of the one it inherits from.
+Inheritance doubles its way up from each request (plans.inherit); no view but the parse itself runs Python.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from functools import cached_property
 
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from pyspark.sql.pandas.types import to_arrow_schema
-
 from vellumspark.operators.partition import CHUNK_CODES, EXTRA_CODES, STRUCTURAL
 from vellumspark.operators import relational as R
 from vellumspark.sources import documents
-from vellumspark.sources.shared import written
+from vellumspark.sources.shared import scope, written
+
+from . import inherit
 
 # A document's default style, and the markers that a list style shows.
 DEFAULT_FAMILY = "Noto Sans"
@@ -33,7 +30,7 @@ STYLE = (
 FIELDS = [x.split()[0] for x in STYLE.split(", ")]
 DEFAULT = (DEFAULT_FAMILY, 16.0, 1.5, 400, False, 0x000000FF, 0, 0.0, 0.0, 0, 0.0, 0, False, False, 0.0, 0)
 MARKERS = {1: "•", 2: "◦", 3: "▪", 4: "0123456789.", 5: "abcdefghijklmnopqrstuvwxyz.", 6: "ABCDEFGHIJKLMNOPQRSTUVWXYZ.", 7: "ivxlcdm.", 8: "IVXLCDM."}
-SMALLEST, LARGEST = np.float32(1), np.float32(4096)
+SMALLEST, LARGEST = 1.0, 4096.0
 #: Rules of the sheets given that are broadcast at most; more are joined by their keys like any table.
 SHARED_RULES = 20_000
 #: Style fields as tagged properties: tag, field, kind of value.
@@ -57,44 +54,6 @@ def chain_match(chain: Column, ancestors: Column) -> Column:
     return met == F.size(outer)
 
 
-def px(n: np.float32, unit: str, size: np.float32) -> np.float32:
-    """A length against a font size, in 32-bit floats."""
-    if unit == "em":
-        return n * size
-    if unit == "%":
-        return n * size / np.float32(100)
-    if unit == "pt":
-        return n * np.float32(96) / np.float32(72)
-    return n
-
-
-def inherit(above: tuple, declared: dict[str, dict], code: bool) -> tuple:
-    """A style from the one it inherits and its winning declarations. Everything inherits."""
-    s = dict(zip(FIELDS, above))
-    number = lambda d: np.float32(d["number"])
-    with np.errstate(all="ignore"):
-        old = np.float32(s["font_size_px"])
-        d = declared.get("font-size")
-        size = np.clip(px(number(d), d["unit"], old) if d else old, SMALLEST, LARGEST)
-        s["font_size_px"] = float(size)
-        if "line-height" in declared:
-            s["line_height"] = float(number(declared["line-height"]))
-        for name, field in (("margin-top", "margin_top"), ("margin-bottom", "margin_bottom"), ("text-indent", "text_indent"), ("letter-spacing", "letter_spacing")):
-            if name in declared:
-                s[field] = float(px(number(declared[name]), declared[name]["unit"], size))
-    if "font-family" in declared:
-        s["font_family"] = declared["font-family"]["word"]
-    for name, field, kind in (
-        ("font-weight", "font_weight", int), ("font-style", "italic", bool), ("color", "color", int), ("background-color", "background", int), ("text-align", "text_align", int),
-        ("list-style-type", "list_style", int), ("white-space", "white_space", int), ("text-decoration", "underline", bool),
-    ):
-        if name in declared:
-            s[field] = kind(declared[name]["code"])
-    if code:
-        s["code"] = True
-    return tuple(s[f] for f in FIELDS)
-
-
 class Corpus:
     """A compiled corpus: each property is a DataFrame keyed by doc_id, planned when first asked for.
 
@@ -186,38 +145,18 @@ class Corpus:
         inline = self.parsed.select("doc_id", F.inline("inline")).join(self.requests.select("doc_id", "request", "node"), ["doc_id", "node"])
         inline = inline.select("doc_id", "request", F.lit(1).alias("inline"), F.array(F.lit(0), F.lit(0), F.lit(0)).alias("spec"), F.lit(0).alias("ord"), "idx", "name", "number", "unit", "code", "word")
         both = rules.unionByName(inline)
-        return R.last_wins(both.repartition("doc_id"), ["doc_id", "request", "name"], ["number", "unit", "code", "word"], ["inline", "spec", "ord", "idx"])
+        return R.last_wins(both.repartition("doc_id", "request"), ["doc_id", "request", "name"], ["number", "unit", "code", "word"], ["inline", "spec", "ord", "idx"])
 
     @cached_property
     def computed(self) -> DataFrame:
         """doc_id, request, seq, marks and the style that each request came to."""
-        won = self.cascade.groupBy("doc_id").agg(F.collect_list(F.struct("request", "name", "number", "unit", "code", "word")).alias("won"))
-        asked = self.parsed.select("doc_id", F.transform("requests", lambda r: F.struct(r["request"].alias("request"), r["above"].alias("above"), r["seq"].alias("seq"), r["code"].alias("code"), r["marks"].alias("marks"))).alias("asked"))
-        both = asked.join(won, "doc_id", "left")
-        schema = f"doc_id long, request int, seq int, marks boolean, {STYLE}"
-        arrow = to_arrow_schema(self.spark.createDataFrame([], schema).schema)
-
-        def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                for doc_id, asked, won in zip(*(b.column(c).to_pylist() for c in ("doc_id", "asked", "won"))):
-                    declared: dict[int, dict[str, dict]] = {}
-                    for d in won or []:
-                        declared.setdefault(d["request"], {})[d["name"]] = d
-                    styles: list[tuple] = []
-                    seen: dict[tuple, tuple] = {}  # most requests repeat a case
-                    for r in asked:
-                        own = declared.get(r["request"], {})
-                        above = styles[r["above"]] if r["above"] >= 0 else DEFAULT
-                        key = (id(above), r["code"], tuple(sorted((n, d["number"], d["unit"], d["code"], d["word"]) for n, d in own.items())))
-                        if key not in seen:
-                            seen[key] = inherit(above, own, r["code"])
-                        styles.append(seen[key])
-                    if asked:
-                        head = [[doc_id] * len(asked), *([r[k] for r in asked] for k in ("request", "seq", "marks"))]
-                        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip([*head, *zip(*styles)], arrow.types)], schema=arrow)
-
-        out = both.mapInArrow(fold, schema)
-        return written(out, "computed") if self._keep else out
+        asked = self.parsed.select("doc_id", F.explode("requests").alias("r")).select("doc_id", *[F.col(f"r.{c}") for c in ("request", "above", "seq", "code", "marks")])
+        types = dict(x.split() for x in STYLE.split(", "))
+        args = (asked, self.cascade, dict(zip(FIELDS, DEFAULT)), types, SMALLEST, LARGEST)
+        if not self._keep:
+            return inherit.computed(*args)
+        with scope() as spare:
+            return spare(written(inherit.computed(*args), "computed"))
 
     @cached_property
     def styles(self) -> DataFrame:

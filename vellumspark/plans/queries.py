@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from vellumspark.operators import relational as R
-from vellumspark.sources.shared import written
+from vellumspark.sources import package_files
+from vellumspark.sources.shared import shared_dir, written
 
 from . import packages
 from .compile import Corpus
@@ -285,9 +288,8 @@ def corpus_report(spark, sf_dir):
     return pages(spark, sf_dir).report
 
 
-@query(
-    f"with {PLACED}"
-    + r""", c as (
+#: The chunk table.
+CHUNKS = PLACED + r""", c as (
     select page_id, 1 as chunk_id, 'document' as kind, 16 as flags, 0 as style_id, 0 as parent_id, 0 as content_index, 0 as depth, null as text from l
     union all select page_id, 2, 'list', 16, 1, 1, 0, 1, null from l where li > 0
     union all select page_id, 3 * i, 'list_item', 0, 2, 2, 0, 2, null from n where r <= 0
@@ -295,7 +297,13 @@ def corpus_report(spark, sf_dir):
     union all select page_id, 3 * i + 2, 'run', 0, 3, 3 * i + 1, ci, 4, t from n where r <= 0
     union all select page_id, id, case when r = 2 then 'heading1' else 'paragraph' end, 0, case when r = 1 then 0 when r = 2 then 4 when i = m then 7 else 5 end, 1, 0, 1, null from n where r > 0
     union all select page_id, id + 1, 'run', 0, case when r = 1 then 0 when r = 2 then 4 when i = m then 7 else 6 end, id, ci, 2, t from n where r > 0
-    union all select page_id, id + 2, 'br', 0, 0, id, 0, 2, null from n where br > 0),
+    union all select page_id, id + 2, 'br', 0, 0, id, 0, 2, null from n where br > 0)
+"""
+
+
+@query(
+    f"with {CHUNKS}"
+    + r""",
     ends as (select page_id, parent_id as chunk_id, min(chunk_id) as a, max(chunk_id) as z from c group by page_id, parent_id)
     select c.page_id as doc_id, c.chunk_id::int as chunk_id, kind, flags::int as flags, style_id::int as style_id, parent_id::int as parent_id,
     coalesce(lag(c.chunk_id) over w, 0)::int as prev_id, coalesce(lead(c.chunk_id) over w, 0)::int as next_id, coalesce(a, 0)::int as first_child_id, coalesce(z, 0)::int as last_child_id,
@@ -377,3 +385,143 @@ def package_report(spark, sf_dir):
 def package_issues(spark, sf_dir):
     """V1-V17, JN5-JN10, WN2-WN3: all checks over the packages of all pages, which lack their atlases and are otherwise sound."""
     return packages.validate(None, packed(spark, sf_dir))
+
+
+def package_folder(spark: SparkSession, sf_dir: str) -> str:
+    """The pages as package files, in a new folder of the shared one."""
+    folder = f"{shared_dir(spark)}/packages-{uuid.uuid4().hex}"
+    source = table(spark, sf_dir, "pages").select(F.col("page_id").alias("doc_id"), F.col("html").alias("source"))
+    made = packages.pack(pages(spark, sf_dir), source)
+    package_files.write(made.select(F.col("doc_id").cast("string").alias("name"), "bytes"), folder)
+    return folder
+
+
+@query(ORACLES["chunk_kind_counts"])
+def package_chunk_kinds(spark, sf_dir):
+    """SRC5, SNK1, SNK2, CD11: chunks by kind of package files, which executors wrote; their CHNK sections alone are read back."""
+    p = package_files.read(spark, package_folder(spark, sf_dir), ["chunks"]).where("error is null")
+    c = p.select(F.col("name").cast("long").alias("page_id"), F.explode("chunks").alias("c"))
+    return c.groupBy("page_id", F.col("c.kind").alias("kind")).agg(F.count("*").alias("n"))
+
+
+@query(
+    f"""with {PLACED}, g as (select page_id, max(li) as li, max(m) as m, sum(br) as br, max(ci) as contents from n group by page_id),
+    b as (select page_id, sum(strlen(t)) as bytes from (select distinct page_id, t from n) group by page_id),
+    x as (select page_id, html, {TITLE} as title, regexp_extract(html, '<html lang="([^"]*)"', 1) as lang, len(regexp_extract_all(html, '<a href="([^"]*)"', 1)) as links,
+          coalesce(list_sum(list_transform(regexp_extract_all(html, '<a href="([^"]*)"', 1), lambda u: strlen(u))), 0) as link_bytes from pages),
+    s as (select page_id, unnest(['INFO', 'CHNK', 'STYL', 'CONT', 'GLYF', 'SEAL']) as name, unnest([
+          strlen(format('{{{{"atlas_count":0,"chunk_count":{{}},"content_count":{{}},"document_id":"","format_version":1,"generator":"vellumspark","generator_version":"1","image_count":0,"lang":"{{}}","source_digest":"","style_count":8,"title":"{{}}"}}}}',
+                        2 + 3 * li + 2 * (m - li) + br, contents, lang, replace(replace(title, '\\', '\\\\'), '"', '\\"'))) + 32 + 64,
+          4 + 44 * (2 + 3 * li + 2 * (m - li) + br) + 4 + 10 * links + link_bytes, 4 + 8 * 8 + {sum(2 + n for n in (4, 1, 4, 1, 4, 1, 1, 4, 4, 2, 4, 4, 4, 4, 2, 4, 4, 2))}, 4 + 12 * contents + bytes, 4, 4 + 36 * 5 + 32])::bigint as decoded_len
+          from g join b using (page_id) join x using (page_id)) select page_id, name, decoded_len, name in ('INFO', 'CHNK', 'STYL', 'CONT') as compressed from s"""
+)
+def package_sections(spark, sf_dir):
+    """SNK3, CD1, CD2: what the directories of the package files say of their sections; no section is read."""
+    p = package_files.read(spark, package_folder(spark, sf_dir), ["sections"])
+    return p.select(F.col("name").cast("long").alias("page_id"), F.inline("sections")).select("page_id", "name", "decoded_len", "compressed")
+
+
+def edited(column: str, at: Column, **fields: Column) -> Column:
+    """An array of structs with some fields of the elements at which a condition on them holds replaced."""
+
+    def edit(x: Column) -> Column:
+        new = x
+        for k, v in fields.items():
+            new = new.withField(k, v(x) if callable(v) else v)
+        return F.when(at(x), new).otherwise(x)
+
+    return F.transform(column, edit)
+
+
+def broken(rows: DataFrame) -> dict[str, DataFrame]:
+    """Decoded packages, sound ones, each broken in one way; by the name of the way."""
+    n, zero = F.size("chunks").cast("long"), F.lit(0).cast("long")
+    long = lambda v: F.lit(v).cast("long")
+    last, up = (lambda c: c["chunk_id"] == n), (lambda c: c["chunk_id"] == n - 1)
+    chunk = lambda which, **f: rows.withColumn("chunks", edited("chunks", which, **f))
+    info = lambda **f: rows.withColumn("info", _with(F.col("info"), f))
+    first = lambda p: p["payload_id"] == 0
+    return {
+        "no info": rows.withColumn("info", F.lit(None).cast(rows.schema["info"].dataType)),
+        "chunk count": info(chunk_count=n + 1),
+        "style count": info(style_count=long(3)),
+        "content count": info(content_count=zero),
+        "atlas count": info(atlas_count=long(9)),
+        "image count": info(image_count=long(1)),
+        "no chunks": rows.withColumn("chunks", F.slice("chunks", 1, 0)),
+        "ordinal": chunk(last, ordinal=n + 4),
+        "style": chunk(last, style_id=long(99)),
+        "content": chunk(last, content_index=long(9999)),
+        "image without content": chunk(last, kind=F.lit("image"), content_index=zero),
+        "image of a text": chunk(last, kind=F.lit("image")),
+        "two roots": chunk(last, parent_id=zero),
+        "root kind": chunk(lambda c: c["chunk_id"] == 1, kind=F.lit("table_cell")),
+        "depth": chunk(last, depth=long(7)),
+        "parent": chunk(last, parent_id=n + 7),
+        "shape": chunk(last, kind=F.lit("table")),
+        "own next": chunk(last, next_id=n),
+        "prev": chunk(last, prev_id=long(1)),
+        "child": chunk(up, first_child_id=n + 9),
+        "last child": chunk(up, last_child_id=long(1)),
+        "wrong chain": chunk(last, next_id=long(2)),
+        "font": info(atlas_count=long(1)).withColumn("atlases", F.slice("atlases", 1, 1)),
+        "no atlas": info(atlas_count=zero).withColumn("atlases", F.slice("atlases", 1, 0)),
+        "image length": rows.withColumn("content", edited("content", first, kind=F.lit("image_ref"), image=F.lit(None).cast("long"), bytes=long(3))),
+        "image": rows.withColumn("content", edited("content", first, kind=F.lit("image_ref"), image=long(5), bytes=long(4))),
+        "link": rows.withColumn("extras", edited("extras", lambda x: F.lit(True), data=lambda x: F.substring(x["data"], F.lit(1), F.octet_length(x["data"]) - 1))),
+    }
+
+
+def _with(x: Column, fields: dict[str, Column]) -> Column:
+    for k, v in fields.items():
+        x = x.withField(k, v)
+    return x
+
+
+@query(
+    f"""with {CHUNKS}, g as (select page_id, max(li) as li, max(m) as m, sum(br) as br, max(ci) as contents from n group by page_id),
+    s as (select page_id as id, 2 + 3 * li + 2 * (m - li) + br as n, contents as k from g),
+    """
+    + r"""i as (
+    select id, 'no info' as way, 'INFO' as section, 'required INFO section missing or undecodable' as message from s
+    union all select id, unnest(['chunk count', 'style count', 'content count', 'atlas count', 'image count', 'no chunks', 'no chunks']), unnest(['INFO', 'INFO', 'INFO', 'INFO', 'INFO', 'INFO', 'CHNK']),
+        unnest([format('chunk_count declares {} but the section contains {}', n + 1, n), 'style_count declares 3 but the section contains 8', format('content_count declares 0 but the section contains {}', k),
+        'atlas_count declares 9 but the section contains 2', 'image_count declares 1 but the section contains 0', format('chunk_count declares {} but the section contains 0', n), 'no chunks']) from s
+    union all select id, unnest(['ordinal', 'style', 'content', 'image without content', 'image without content', 'image of a text', 'image of a text']), 'CHNK',
+        unnest([format('chunk {} has ordinal {}', n, n + 4), format('chunk {} references style 99', n), format('chunk {} references content 9999', n), format('image chunk {} has no content', n),
+        format('chunk {}: image in paragraph', n), format('image chunk {} shows a text', n), format('chunk {}: image in paragraph', n)]) from s
+    union all select id, 'two roots', 'CHNK', unnest(['2 roots', format('root chunk {} is no document', n), format('root chunk {} has depth 2', n), format('chunk {} has parent 0 but is in the child chain of {}', n, n - 1),
+        format('chunk {} reachable via multiple paths', n)]) from s
+    union all select id, 'root kind', 'CHNK', 'root chunk 1 is no document' from s
+    union all select page_id, 'root kind', 'CHNK', format('chunk {}: {} in table_cell', chunk_id, kind) from c where parent_id = 1 and kind like 'heading%'
+    union all select id, unnest(['depth', 'parent', 'parent', 'shape', 'own next', 'own next', 'prev', 'child', 'child', 'child', 'last child', 'wrong chain', 'wrong chain']), 'CHNK',
+        unnest([format('chunk {} has depth 7 below 1', n), format('chunk {} has dangling parent {}', n, n + 7), format('chunk {} has parent {} but is in the child chain of {}', n, n + 7, n - 1), format('chunk {}: table in paragraph', n),
+        format('chunk {} is its own next sibling', n), format('sibling chain cycle under chunk {}', n - 1), format('chunk {} prev 1 inconsistent in chain of {}', n, n - 1),
+        format('chunk {} has dangling child {}', n - 1, n + 9), format('chunk {} last_child {} != chain end 0', n - 1, n), format('chunk {} unreachable from the root', n),
+        format('chunk {} last_child 1 != chain end {}', n - 1, n), 'chunk 2 in wrong chain', 'chunk 2 reachable via multiple paths']) from s
+    union all select id, unnest(['font', 'font', 'font', 'no atlas', 'no atlas', 'no atlas', 'no atlas']), unnest(['STYL', 'STYL', 'STYL', 'STYL', 'STYL', 'STYL', 'GLYF']),
+        unnest(['style 4 references font_id 1 but there are 1 atlases', 'style 6 references font_id 1 but there are 1 atlases', 'style 7 references font_id 1 but there are 1 atlases', 'style 4 references font_id 1 but there are 0 atlases',
+        'style 6 references font_id 1 but there are 0 atlases', 'style 7 references font_id 1 but there are 0 atlases', 'document contains text but no glyph atlas']) from s
+    union all select id, unnest(['image length', 'image']), 'CONT', unnest(['payload 0 image_ref has wrong length', 'payload 0 references image 5 but there are 0 images']) from s
+    union all select page_id, 'link', 'CHNK', format('extra link_target of chunk {} is malformed', chunk_id) from c where kind = 'run' and depth = 4
+    union all select id, unnest(['cut', 'magic', 'end']), 'PACKAGE', unnest(['too_short', 'bad_magic', 'out_of_bounds: section 7']) from s)
+    select id as page_id, way, section, message from i"""
+)
+def broken_packages(spark, sf_dir):
+    """V1 to V17, JN5 to JN10: all packages broken in each of thirty ways, and what is said of each."""
+    source = table(spark, sf_dir, "pages").select(F.col("page_id").alias("doc_id"), F.col("html").alias("source"))
+    made = written(packages.pack(pages(spark, sf_dir), source), "packed")
+    atlas = "named_struct('font_id', 0L, 'family', 'f', 'weight', 400, 'italic', false, 'glyphs', 0, 'kerning', 0, 'pages', 0, 'page_bytes', 0L)"
+    sound = packages.unpack(made).withColumn("atlases", F.expr(f"array({atlas}, {atlas})")).withColumn("info", F.col("info").withField("atlas_count", F.lit(2).cast("long")))
+    sound = written(sound, "sound")
+    size = F.octet_length("bytes")
+    spoilt = {"cut": F.substring("bytes", 1, 10), "magic": F.concat(F.lit(b"PULL"), F.expr("substring(bytes, 5)")), "end": F.substring(F.col("bytes"), F.lit(1), size - 1)}
+    ways = broken(sound) | {way: packages.unpack(made.select("doc_id", data.alias("bytes"))) for way, data in spoilt.items()}
+    all_ = None
+    # ids of several packages in one table: the page's id and the way's number
+    for k, df in enumerate(ways.values()):
+        df = df.withColumn("doc_id", F.col("doc_id") * 100 + k)
+        all_ = df if all_ is None else all_.unionByName(df)
+    said = packages.validate(None, written(all_, "broken"))
+    names = F.array(*map(F.lit, ways))
+    return said.select(F.floor(F.col("doc_id") / 100).cast("long").alias("page_id"), F.get(names, F.pmod(F.col("doc_id"), F.lit(100)).cast("int")).alias("way"), "section", "message")

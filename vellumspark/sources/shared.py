@@ -1,10 +1,12 @@
-"""Tables that are written once and read by many views."""
+"""Tables that are written once and read by many views, and go when they have served."""
 
 from __future__ import annotations
 
 import re
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -21,9 +23,38 @@ def shared_dir(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+_scopes: list[dict[str, SparkSession]] = []
+
+
 def written(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
-    """df, written to a path or to a new one in the shared folder and read again."""
+    """df, written to a path or to a new one in the shared folder and read again. One in the shared folder goes at the end of the scope that it was written in."""
     spark = df.sparkSession
-    path = path or f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.mode("overwrite").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    at = path or f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    df.write.mode("overwrite").parquet(at)
+    out = spark.read.schema(df.schema).parquet(at)
+    if path is None:
+        out._written_at = at
+        if _scopes:
+            _scopes[-1][at] = spark
+    return out
+
+
+@contextmanager
+def scope() -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """Tables that written() makes inside are deleted at the end, but for those passed to the function that is given, which belong to the scope around."""
+    made: dict[str, SparkSession] = {}
+    _scopes.append(made)
+
+    def spare(df: DataFrame) -> DataFrame:
+        if spark := made.pop(df._written_at, None):
+            if len(_scopes) > 1:
+                _scopes[-2][df._written_at] = spark
+        return df
+
+    try:
+        yield spare
+    finally:
+        _scopes.pop()
+        for at, spark in made.items():
+            path = spark._jvm.org.apache.hadoop.fs.Path(at)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
