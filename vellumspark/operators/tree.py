@@ -134,13 +134,14 @@ def splice_wrappers(node: Node) -> None:
     node.kids = out
 
 
-def from_html(source: str) -> tuple[Node, Reading]:
+def from_html(source: str, fold: bool = True) -> tuple[Node, Reading]:
+    """The tree of a page. fold: white space is folded and images stand where blocks do."""
     reading = Reading()
     root = html_source.parse(source)
     tree = Node("document", kids=reading.element(root, 1))
     splice_wrappers(tree)
     normalise_leaves(tree)
-    return finish(tree), reading
+    return finish(tree) if fold else tree, reading
 
 
 def normalise_leaves(node: Node) -> None:

@@ -2,17 +2,21 @@
 
 from __future__ import annotations
 
+import struct
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from vellumspark.operators import checksums
 from vellumspark.operators import relational as R
+from vellumspark.operators.checksums import POLYNOMIAL
+from vellumspark.operators.partition import CHUNK_CODES
 from vellumspark.sources import package_files
 from vellumspark.sources.shared import shared_dir, written
 
-from . import packages
+from . import digests, flow, packages
 from .compile import Corpus
 
 
@@ -525,3 +529,86 @@ def broken_packages(spark, sf_dir):
     said = packages.validate(None, written(all_, "broken"))
     names = F.array(*map(F.lit, ways))
     return said.select(F.floor(F.col("doc_id") / 100).cast("long").alias("page_id"), F.get(names, F.pmod(F.col("doc_id"), F.lit(100)).cast("int")).alias("way"), "section", "message")
+
+
+# What was Python alone: white space, paragraphs, encoded sections, checksums, as expressions, windows and joins.
+
+
+@query("with " + SEGMENTS + "select page_id, string_agg(t, '' order by k) as text, count(*) as leaves from texts where t <> '' group by page_id")
+def folded_text(spark, sf_dir):
+    """WN6, FS3: each page's text with its white space folded, by windows over the leaves of its tree as read."""
+    source = table(spark, sf_dir, "pages").select(F.col("page_id").alias("doc_id"), F.lit("html").alias("kind"), F.col("html").alias("source"))
+    leaves = flow.folded(written(flow.raw(source), "raw"))
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("node_id", "text"))), lambda x: x["text"]), "")
+    return leaves.groupBy(F.col("doc_id").alias("page_id")).agg(text.alias("text"), F.count("*").alias("leaves"))
+
+
+@query(f"with {PLACED} select page_id, (row_number() over (partition by page_id order by i))::int as place, t as text from n where r <> 2")
+def page_paragraphs(spark, sf_dir):
+    """WN11, WN12, TR3: the paragraphs of each page, named and implied ones, by islands over the rows of its tree."""
+    p = flow.paragraphs(pages(spark, sf_dir).nodes)
+    place = F.row_number().over(W.partitionBy("doc_id").orderBy("node_id"))
+    return p.select(F.col("doc_id").alias("page_id"), place.alias("place"), "text")
+
+
+def _le(x: str, size: int) -> str:
+    digits = f"printf('%0{2 * size}x', ({x})::bigint)"
+    return " || ".join(f"substr({digits}, {2 * k + 1}, 2)" for k in reversed(range(size)))
+
+
+def _styles() -> str:
+    """The section of styles that all test pages have, in hex digits."""
+    rows = {k: b"" for k in range(8)}
+    count = dict.fromkeys(rows, 0)
+    layout = {1: "<HI", 2: "<Hf", 4: "<HH", 8: "<Hf", 9: "<Hf", 12: "<HB", 14: "<HB"}
+    for row in STYLE_ROWS.replace("::float::double", "").split("),"):
+        style, tag, _, value = (x.strip(" ()'\n") for x in row.split(","))
+        value = float(value)
+        rows[int(style)] += struct.pack(layout[int(tag)], int(tag), value if layout[int(tag)][-1] == "f" else int(value))
+        count[int(style)] += 1
+    return (struct.pack("<I", 8) + b"".join(struct.pack("<IHH", k, count[k], len(v)) + v for k, v in rows.items())).hex()
+
+
+@query(
+    f"""with cc as ({ORACLES["compiled_chunks"]}), kinds as (select unnest({list(CHUNK_CODES)!r}) as kind, unnest({list(CHUNK_CODES.values())!r}) as code),
+    h as (select doc_id, count(*) as n, string_agg({_le("chunk_id", 4)} || {_le("code", 1)} || {_le("flags", 1)} || '0000' || {" || ".join(_le(x, 4) for x in package_files.LINKS)}, '' order by chunk_id) as x
+          from cc join kinds using (kind) group by doc_id),
+    u as (select page_id, unnest(regexp_extract_all(html, '<a href="([^"]*)"', 1)) as u, unnest(range(1, 1 + len(regexp_extract_all(html, '<a href="([^"]*)"', 1)))) as i from pages),
+    e as (select page_id, count(*) as n, string_agg({_le("3 * i + 2", 4)} || '0100' || {_le("strlen(u) + 2", 2)} || {_le("strlen(u)", 2)} || hex(u), '' order by i) as x from u group by page_id),
+    t as (select distinct doc_id, content_index - 1 as k, text from cc where content_index > 0),
+    p as (select doc_id, count(*) as n, string_agg({_le("k", 4)} || '00000000' || {_le("strlen(text)", 4)} || hex(text), '' order by k) as x from t group by doc_id),
+    s as (select h.doc_id, {_le("h.n", 4)} || h.x || {_le("coalesce(e.n, 0)", 4)} || coalesce(e.x, '') as chnk, '{_styles()}' as styl, {_le("coalesce(p.n, 0)", 4)} || coalesce(p.x, '') as cont
+          from h left join e on h.doc_id = e.page_id left join p on h.doc_id = p.doc_id)
+    select doc_id as page_id, sha256(unhex(chnk)) as chnk, sha256(unhex(styl)) as styl, sha256(unhex(cont)) as cont, substr(sha256(unhex(chnk || styl || cont || '00000000')), 1, 32) as document_id from s"""
+)
+def section_digests(spark, sf_dir):
+    """AG14, AG16, JN13: digests of the sections that each page's package will hold, and the id over all of them, from the tables alone."""
+    c = pages(spark, sf_dir)
+    s = written(digests.sections(c), "sections")
+    whole = F.substring(F.sha2(F.concat("chnk", "styl", "cont", F.unhex(F.lit("00000000"))), 256), 1, 32)
+    return s.select(F.col("doc_id").alias("page_id"), *[F.sha2(x, 256).alias(x) for x in ("chnk", "styl", "cont")], whole.alias("document_id"))
+
+
+def _crc_table() -> list[int]:
+    out = []
+    for k in range(256):
+        for _ in range(8):
+            k = k >> 1 ^ (POLYNOMIAL if k & 1 else 0)
+        out.append(k)
+    return out
+
+
+@query(
+    rf"""with d as (select doc_id, coalesce(text, '') as t, hex(coalesce(text, '')) as h from documents),
+    b as (select doc_id, list_transform(range(1, length(h), 2), lambda k: ('0x' || substr(h, k, 2))::bigint) as b from d),
+    c as (select doc_id, len(b)::bigint as size, coalesce(list_sum(b), 0)::bigint as s, coalesce(list_sum(list_transform(b, lambda x, i: x * (len(b) - i + 1))), 0)::hugeint as r,
+          list_reduce(list_prepend(4294967295::bigint, b), lambda c, x: xor(c >> 8, ({_crc_table()!r})[(xor(c, x) & 255) + 1]::bigint)) as crc from b)
+    select doc_id, size, ((r + size) % 65521 * 65536 + (s + 1) % 65521)::bigint as adler32, xor(crc, 4294967295::bigint) as crc32 from c"""
+)
+def piece_checksums(spark, sf_dir):
+    """AG17, AG18: checksums of all texts, from pieces of 512 bytes that are summed apart."""
+    d = table(spark, sf_dir, "documents").select("doc_id", F.encode(F.coalesce("text", F.lit("")), "UTF-8").alias("data"))
+    n = F.greatest(F.lit(1), F.ceil(F.octet_length("data") / 512)).cast("int")
+    cut = d.select("doc_id", "data", F.explode(F.sequence(F.lit(0), n - 1)).alias("k"))
+    pieces = cut.select("doc_id", (F.col("k") * 512).cast("long").alias("offset"), F.substring(F.col("data"), F.col("k") * 512 + 1, F.lit(512)).alias("piece"))
+    return checksums.checksums(pieces, ["doc_id"], "offset", "piece")

@@ -527,7 +527,7 @@ def untighten(node: Node) -> None:
     node.kids = out
 
 
-def parse(source: str) -> Node:
+def parse(source: str, fold: bool = True) -> Node:
     p = Parser()
     root = Node("document", kids=p.blocks(source.replace("\0", "�").replace("\r\n", "\n").replace("\r", "\n").split("\n"), 1))
     for node, text in p.later:
@@ -535,7 +535,7 @@ def parse(source: str) -> Node:
     untighten(root)
     check_depth(root)
     normalise_leaves(root)
-    return finish(root)
+    return finish(root) if fold else root
 
 
 def check_depth(root: Node) -> None:
