@@ -97,3 +97,71 @@ def test_atlases_make_packages_valid(spark, tmp_path):
     assert (page[g["box_y"] : g["box_y"] + g["box_h"], g["box_x"] : g["box_x"] + g["box_w"]] == pixels).all()
     packages.pack(c, docs, built).write.parquet(f"file://{tmp_path}/packed")
     assert packages.validate(spark.read.parquet(f"file://{tmp_path}/packed")).collect() == []
+
+
+def test_faces_by_joins(spark):
+    """What faces lack, and which face each one gets, as the registry and the atlases tell it."""
+    from vellumspark.plans import faces
+
+    r = Registry()
+    for family, w in (("Noto Sans", 400), ("noto sans", 900), ("My Sans", 300), ("My Sans", 500)):
+        r.add(family, w, False, font())
+    docs = spark.createDataFrame([(1, "markdown", "# AB\n\nBA CZ é"), (2, "markdown", "A\n\n- Q *R*"), (3, "html", "<p style='font-family: my sans; font-weight: 400'>AY<p style='font-family: none'>N")], "doc_id long, kind string, source string")
+    c = Corpus(docs)
+    want = sorted((x["doc_id"], x["cp"]) for x in atlases.missing_codepoints(atlases.build(c, r)).collect())
+    assert sorted((x["doc_id"], x["cp"]) for x in faces.missing_codepoints(c, r).collect()) == want and len(want) > 3
+    table, maps, _ = faces.tables(spark, r)
+    assert sorted((x["first"], x["last"], x["value"]) for x in maps.where("face = 0").collect()) == [(32, 32, 4), (65, 67, 1)]
+    asked = [(f, w, False) for f in ("my sans", "MY SANS", "serif", "other") for w in (-5, 100, 399, 400, 401, 650, 651, 2000)]
+    got = {(x["family"], x["weight"], x["italic"]): x["face"] for x in faces.resolved(spark.createDataFrame(asked, "family string, weight int, italic boolean"), table).collect()}
+    number = {(x["name"], x["weight"], x["italic"]): x["face"] for x in table.collect()}
+    for family, weight, italic in asked:
+        name = "noto sans" if family == "serif" else family.lower()
+        have = sorted((abs(w - min(max(weight, 100), 900)), -w) for n, w, _ in number if n == name)
+        assert got.get((family, weight, italic)) == (number[name, -have[0][1], False] if have else None)
+
+
+def test_nearest_over_many_ranges(spark):
+    """One key with many values is many tasks; the answers are those of brute force."""
+    import random
+
+    from vellumspark.operators import relational as R
+
+    rng = random.Random(2)
+    wanted = [(k, rng.randint(0, 400), i) for i, k in enumerate(["hot"] * 600 + ["b"] * 40 + ["none"] * 5)] + [("hot", None, -1)]
+    have = [("hot", rng.randint(0, 100) + 150 * rng.randint(0, 2)) for _ in range(40)] + [("b", 7), ("b", 7), ("c", 1), ("b", None)]
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = R.nearest(spark.createDataFrame(wanted, "k string, v int, i int"), spark.createDataFrame(have, "k string, x int"), ["k"], "v", "x").collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    marks = {}
+    for k, x in have:
+        if x is not None:
+            marks.setdefault(k, []).append(x)
+    want = {i: min(marks[k], key=lambda x: (abs(x - v), -x)) for k, v, i in wanted if k in marks and v is not None}
+    assert {r["i"]: r["x"] for r in got} == want and len(got) == 640
+
+
+def test_kerning_by_joins(spark):
+    from vellumspark.operators import glyphs as G
+
+    use = spark.createDataFrame([("f", 65, 1), ("f", 66, 2), ("f", 97, 2), ("g", 65, 1)], "face string, cp long, glyph long")
+    pairs = spark.createDataFrame([("f", 1, 2, -50), ("f", 1, 2, -30), ("f", 2, 1, 9), ("f", 2, 1, -9), ("f", 1, 7, 4), ("g", 1, 1, 3), ("h", 1, 1, 3)], "face string, left long, right long, adjust long")
+    assert sorted(map(tuple, G.kerned(use, pairs).collect())) == [("f", 65, 97, -80), ("g", 65, 65, 3)]
+
+
+def test_glyphs_by_ranges(spark):
+    from vellumspark.operators import glyphs as G
+
+    rows = [("a", c, 5 + c) for c in range(250, 600)] + [("a", 700, 9), ("a", 701, 10), ("a", 702, 30), ("b", 3, 1)]
+    spans = G.intervals(spark.createDataFrame(rows, "face string, cp long, glyph long"), ["face"], "cp", "glyph")
+    assert sorted(map(tuple, spans.collect())) == [("a", 250, 599, 255), ("a", 700, 701, 9), ("a", 702, 702, 30), ("b", 3, 3, 1)]
+    more = spark.createDataFrame([(0, 600, 650, 1), (1, 640, 900, 500)], "ord int, first long, last long, value long")
+    wanted = spark.createDataFrame([(f, c) for f in "ab" for c in (2, 3, 250, 599, 600, 645, 700, 702, 900, 901)] + [("a", 3)], "face string, cp long")
+    have = {(f, c): (-1, g) for f, c, g in rows}
+    for f in "ab":
+        for c in range(600, 901):
+            have.setdefault((f, c), (0, c - 599) if c <= 650 else (1, c - 140))
+    got = {(r["face"], r["cp"]): (r["source"], r["glyph"]) for r in G.mapped(wanted, spans, more).collect()}
+    assert len(got) == 20 and got == {k: have.get(k, (None, None)) for k in got}

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vellumspark.plans import atlases as atlas_plans
+from vellumspark.plans import faces as face_plans
 from vellumspark.plans import images as image_plans
 from vellumspark.plans import packages
 from vellumspark.plans.compile import Corpus
@@ -46,8 +47,8 @@ def compile_corpus(
 
 
 def missing_codepoints(docs: DataFrame, fonts: Registry, css: list[str] | None = None) -> DataFrame:
-    """doc_id, cp: the codepoints of each document that no face has."""
-    return atlas_plans.missing_codepoints(atlas_plans.build(Corpus(docs, css), fonts))
+    """doc_id, cp: the codepoints of each document that no face has. Nothing is drawn for it."""
+    return face_plans.missing_codepoints(Corpus(docs, css), fonts)
 
 
 def validate_corpus(pkgs: DataFrame) -> DataFrame:

@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from vellumspark.sources.shared import written
+
 
 def sibling_links(df: DataFrame, parent: Sequence[str], key: str, ends: bool = True) -> DataFrame:
     """df with prev_id, next_id and, with ends, first_id and last_id of key among the rows of a parent, in order of key; 0 for none."""
@@ -48,20 +50,30 @@ def islands(df: DataFrame, group: Sequence[str], order: str, breaks: Column, nam
 
 
 def nearest(wanted: DataFrame, have: DataFrame, on: Sequence[str], want: str, got: str) -> DataFrame:
-    """Each wanted row with the nearest `got` of the rows of have that agree on `on`; the larger one of two as near. Rows without any stay away.
+    """Each wanted row with the nearest `got` of the rows of have that agree on `on`; the larger one of two as near. Rows without any, or without a value, stay away.
 
-    Both sides go in one order by value: the nearest is the last of have before a row or the first after it. One sort, no pairs.
+    Distinct values of both sides go in one order, dealt to tasks by ranges of it, so that a key with many values is many tasks. In a range
+    the nearest is the last of have before a value or the first after it; the last before a range and the first after it are
+    carried over from a table of a row for each key and range. Answers are joined back to the rows that ask.
     """
     fields = [c for c in wanted.columns if c not in on]
-    rows = wanted.select(*on, F.col(want).alias("_v"), F.lit(None).cast(have.schema[got].dataType).alias("_got"), F.struct(*fields).alias("_row"))
-    marks = have.select(*on, F.col(got).alias("_v"), F.col(got).alias("_got")).distinct()
-    both = rows.unionByName(marks, allowMissingColumns=True)
-    line = W.partitionBy(*on).orderBy("_v", F.col("_got").isNull())
-    below = F.last("_got", True).over(line.rowsBetween(W.unboundedPreceding, 0))
-    above = F.first("_got", True).over(line.rowsBetween(0, W.unboundedFollowing))
-    both = both.withColumn("_below", below).withColumn("_above", above).where("_row is not null and (_below is not null or _above is not null)")
+    asked = wanted.where(F.col(want).isNotNull())
+    kind = have.schema[got].dataType
+    points = asked.select(*on, F.col(want).alias("_v"), F.lit(None).cast(kind).alias("_got")).distinct()
+    marks = have.where(F.col(got).isNotNull()).select(*on, F.col(got).alias("_v"), F.col(got).alias("_got")).distinct()
+    order = [*on, "_v"]
+    # written, as the ranges must stay the same wherever they are read
+    both = written(points.unionByName(marks).repartitionByRange(*order).withColumn("_range", F.spark_partition_id()), "ranges")
+    ends = both.groupBy(*on, "_range").agg(F.min("_got").alias("_first"), F.max("_got").alias("_last"))
+    ranges = W.partitionBy(*on).orderBy("_range")
+    ends = ends.select(*on, "_range", F.last("_last", True).over(ranges.rowsBetween(W.unboundedPreceding, -1)).alias("_before"), F.first("_first", True).over(ranges.rowsBetween(1, W.unboundedFollowing)).alias("_after"))
+    line = W.partitionBy(*on, "_range").orderBy("_v", F.col("_got").isNull())
+    both = both.withColumn("_below", F.last("_got", True).over(line.rowsBetween(W.unboundedPreceding, 0))).withColumn("_above", F.first("_got", True).over(line.rowsBetween(0, W.unboundedFollowing)))
+    both = both.where("_got is null").join(ends, [*on, "_range"]).withColumn("_below", F.coalesce("_below", "_before")).withColumn("_above", F.coalesce("_above", "_after"))
+    both = both.where("_below is not null or _above is not null")
     up = F.col("_below").isNull() | (F.col("_above").isNotNull() & (F.col("_above") - F.col("_v") <= F.col("_v") - F.col("_below")))
-    return both.select(*on, *[F.col("_row")[c].alias(c) for c in fields], F.when(up, F.col("_above")).otherwise(F.col("_below")).alias(got))
+    answers = both.select(*on, "_v", F.when(up, F.col("_above")).otherwise(F.col("_below")).alias("_near"))
+    return asked.withColumn("_v", F.col(want)).join(answers, [*on, "_v"]).select(*on, *fields, F.col("_near").alias(got))
 
 
 def dangling(df: DataFrame, ref: Column, other: DataFrame, key: str) -> DataFrame:

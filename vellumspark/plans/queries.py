@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from vellumspark.operators import checksums
+from vellumspark.operators import checksums, glyphs
 from vellumspark.operators import relational as R
 from vellumspark.operators.checksums import POLYNOMIAL
 from vellumspark.operators.partition import CHUNK_CODES
@@ -612,3 +612,41 @@ def piece_checksums(spark, sf_dir):
     cut = d.select("doc_id", "data", F.explode(F.sequence(F.lit(0), n - 1)).alias("k"))
     pieces = cut.select("doc_id", (F.col("k") * 512).cast("long").alias("offset"), F.substring(F.col("data"), F.col("k") * 512 + 1, F.lit(512)).alias("piece"))
     return checksums.checksums(pieces, ["doc_id"], "offset", "piece")
+
+
+# Faces: the tables have the shape of fonts' character maps and pair adjustments; what they hold comes from the test tables.
+
+
+@query(
+    """with d as (select coalesce(lang, 'und') as face, doc_id, unnest(list_distinct(string_split(text, ''))) as c from documents where text <> ''),
+    w as (select face, unicode(c)::bigint as cp, count(*) as docs from d group by face, unicode(c)),
+    m as (select face, cp, 9 + row_number() over (partition by face order by cp) as glyph from w where docs >= 20),
+    s as (select cp, 9 + row_number() over (order by cp) as glyph from (select distinct unicode(c)::bigint as cp from (select unnest(string_split(html, '')) as c from pages)))
+    select w.face, w.cp, w.docs, case when m.cp is not null then -1 when s.cp is not null then 0 end::bigint as source, coalesce(m.glyph, s.glyph)::bigint as glyph
+    from w left join m on w.face = m.face and w.cp = m.cp left join s on w.cp = s.cp"""
+)
+def glyph_sources(spark, sf_dir):
+    """JN11, ST3, AG11: the glyph that shows each codepoint of each language's texts, of a face that holds what twenty texts have, a supplementary one that holds what pages have, or none."""
+    split = lambda t: F.explode(F.array_distinct(F.transform(F.split(t, ""), lambda c: F.ascii(c).cast("long"))))
+    d = table(spark, sf_dir, "documents").where("text <> ''")
+    used = d.select(F.coalesce("lang", F.lit("und")).alias("face"), split(F.col("text")).alias("cp")).groupBy("face", "cp").agg(F.count("*").alias("docs"))
+    used = written(used, "used")
+    number = lambda df, group: df.withColumn("glyph", 9 + F.row_number().over(W.partitionBy(*group).orderBy("cp")))
+    maps = glyphs.intervals(number(used.where("docs >= 20").select("face", "cp"), ["face"]), ["face"], "cp", "glyph")
+    more = table(spark, sf_dir, "pages").select(split(F.col("html")).alias("cp")).distinct().withColumn("ord", F.lit(0))
+    more = glyphs.intervals(number(more, ["ord"]), ["ord"], "cp", "glyph")
+    return used.join(glyphs.mapped(used, maps, more), ["face", "cp"])
+
+
+@query(
+    """with u as (select distinct l_returnflag as face, p_partkey as glyph, p_partkey + 100 as cp from lineitem join part on l_partkey = p_partkey where p_size <= 25),
+    p as (select l_returnflag as face, l_suppkey as l, l_partkey as r, sum(l_quantity::bigint - 25) as adjust from lineitem group by all)
+    select p.face, a.cp as left_cp, b.cp as right_cp, p.adjust::bigint as adjust from p join u a on p.face = a.face and p.l = a.glyph join u b on p.face = b.face and p.r = b.glyph where p.adjust <> 0"""
+)
+def kerning_pairs(spark, sf_dir):
+    """JN12, AG23: pair adjustments added up over lookups, for pairs whose ends a face uses."""
+    items = table(spark, sf_dir, "lineitem").withColumnRenamed("l_returnflag", "face")
+    part = table(spark, sf_dir, "part").where("p_size <= 25").select(F.col("p_partkey").alias("glyph"), (F.col("p_partkey") + 100).alias("cp"))
+    used = items.select("face", F.col("l_partkey").alias("glyph")).distinct().join(part, "glyph")
+    pairs = items.select("face", F.col("l_suppkey").alias("left"), F.col("l_partkey").alias("right"), (F.col("l_quantity").cast("long") - 25).alias("adjust"))
+    return glyphs.kerned(used, pairs).withColumnsRenamed({"left": "left_cp", "right": "right_cp"})
