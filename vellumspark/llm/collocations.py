@@ -93,6 +93,16 @@ def passing(hashes: DataFrame) -> Passing:
     return Passing(hashes.sparkSession.sparkContext.broadcast(out), 64 - bits)
 
 
+def distinct_words(t: Words, salt: int) -> tuple[np.ndarray, np.ndarray]:
+    """(place of one, how often it occurs) of each distinct word. Words of one hash that another hash tells apart are two."""
+    other = spans(LOWER[t.data] ^ np.uint8(salt ^ 0x77), t.start, t.end)
+    order = np.lexsort((other, t.h))
+    new = np.ones(len(order), bool)
+    new[1:] = (t.h[order[1:]] != t.h[order[:-1]]) | (other[order[1:]] != other[order[:-1]])
+    first = np.flatnonzero(new)
+    return order[first], np.diff(np.append(first, len(order)))
+
+
 def vocabulary(docs: DataFrame, salt: int) -> DataFrame:
     """lang, word, h, n: how often each word occurs in a language."""
 
@@ -100,13 +110,7 @@ def vocabulary(docs: DataFrame, salt: int) -> DataFrame:
         for b in batches:
             langs = b.column("lang")
             for i, _, t in tokens(b.column("text"), langs, salt):
-                # words of one hash that another hash tells apart are rows of their own
-                other = spans(LOWER[t.data] ^ np.uint8(salt ^ 0x77), t.start, t.end)
-                order = np.lexsort((other, t.h))
-                new = np.ones(len(order), bool)
-                new[1:] = (t.h[order[1:]] != t.h[order[:-1]]) | (other[order[1:]] != other[order[:-1]])
-                first = np.flatnonzero(new)
-                at, n = order[first], np.diff(np.append(first, len(order)))
+                at, n = distinct_words(t, salt)
                 h, raw = t.h[at], LOWER[t.data].tobytes()
                 found = [raw[a:z] for a, z in zip(t.start[at].tolist(), t.end[at].tolist())]
                 yield pa.RecordBatch.from_arrays([langs.take(pa.array(i + t.row[at])).fill_null(UNKNOWN), pa.array(found, pa.binary()).cast(pa.string()), pa.array(h.view(np.int64)), pa.array(n)], names=["lang", "word", "h", "n"])
