@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import struct
 import uuid
 
@@ -13,6 +14,7 @@ from vellumspark.operators import checksums, glyphs
 from vellumspark.operators import relational as R
 from vellumspark.operators.checksums import POLYNOMIAL
 from vellumspark.operators.partition import CHUNK_CODES
+from vellumspark.operators.shape import tree_issues
 from vellumspark.sources import package_files
 from vellumspark.sources.shared import shared_dir, written
 
@@ -650,3 +652,77 @@ def kerning_pairs(spark, sf_dir):
     used = items.select("face", F.col("l_partkey").alias("glyph")).distinct().join(part, "glyph")
     pairs = items.select("face", F.col("l_suppkey").alias("left"), F.col("l_partkey").alias("right"), (F.col("l_quantity").cast("long") - 25).alias("adjust"))
     return glyphs.kerned(used, pairs).withColumnsRenamed({"left": "left_cp", "right": "right_cp"})
+
+
+# Parts as pages of a catalogue: values of the table in style attributes, lists, spans, pictures and links.
+
+CATALOG = """<title>%(name)s</title><style>#sku { color: #abc; text-align: end } .big { background-color: TEAL; margin-bottom: 3pt } h2.big, p.none { list-style-type: upper-roman } h3 { color: red } #none { color: red }</style>
+<h2 id=sku class="big" style="font-family: serif, 'My %(brand)s', x; line-height: %(size)s%%; letter-spacing: normal; font: bold">%(name)s</h2>
+<p class="size" style="text-indent: %(size)spx; margin-top: 0.5em; font-size: %(size)spx; white-space: pre-line; font-style: oblique; text-decoration: underline; font-weight: bolder; color: #12345678; line-height: 24px">%(type)s</p>
+<ol start=%(size)s><li>%(brand)s<li>%(name)s</ol><table><tr><td colspan=2>%(type)s<td rowspan=%(size)s>%(key)s</table><p><a href="/part/%(key)s">%(name)s</a><img src="%(brand)s.png" alt="%(name)s">"""
+
+
+def catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = table(spark, sf_dir, "part")
+    fields = {"name": "p_name", "brand": "p_brand", "size": "p_size", "type": "p_type", "key": "p_partkey"}
+    order = re.findall(r"%\((\w+)\)s", CATALOG)
+    html = F.format_string(re.sub(r"%\(\w+\)s", "%s", CATALOG), *[F.col(fields[x]).cast("string") for x in order])
+    return p.select(F.col("p_partkey").alias("doc_id"), F.lit("html").alias("kind"), html.alias("source"), "p_name", "p_size")
+
+
+@query(
+    """with p as (select p_partkey as doc_id, p_brand, greatest(1, p_size)::double as s, p_size::double as size from part)
+    select doc_id, 'h2' as tag, 'My ' || p_brand as font_family, 24.0::double as font_size_px, size as line_height, 700 as font_weight, false as italic, 2864434431 as color, 8421631 as background,
+    19.92::float::double as margin_top, 4.0::double as margin_bottom, 2 as text_align, 0.0::double as text_indent, 8 as list_style, false as code, false as underline, 0.0::double as letter_spacing, 0 as white_space from p
+    union all select doc_id, 'p', 'Noto Sans', s, 24.0, 700, true, 305419896, 0, 0.5 * s, s, 0, size, 0, false, true, 0.0, 1 from p"""
+)
+def catalog_styles(spark, sf_dir):
+    """FIL7, FC1 to FC6, FC9, JN2, TR6: what a heading known by its id and a paragraph of a class come to, from sheets and style attributes."""
+    c = Corpus(catalog(spark, sf_dir))
+    asked = c.requests.where("id = 'sku' or array_contains(classes, 'size')").select("doc_id", "request", "tag")
+    s = asked.join(c.computed.drop("seq", "marks"), ["doc_id", "request"]).drop("request").distinct()
+    return s.select(*[F.col(f).cast("double").alias(f) if t == "float" else F.col(f) for f, t in s.dtypes])
+
+
+@query(
+    """select p_partkey as doc_id, unnest(['list_item_value', 'list_item_value', 'cell_span', 'cell_span', 'link_target', 'image_alt']) as kind,
+    unnest([null, null, null, null, '/part/' || p_partkey, p_name]) as text, unnest([p_size, p_size + 1, 2, 1, null, null])::bigint as a, unnest([null, null, 1, greatest(1, p_size), null, null])::bigint as b from part
+    where p_size <> 1 union all
+    select p_partkey, unnest(['list_item_value', 'list_item_value', 'cell_span', 'link_target', 'image_alt']), unnest([null, null, null, '/part/' || p_partkey, p_name]), unnest([1, 2, 2, null, null])::bigint, unnest([null, null, 1, null, null])::bigint
+    from part where p_size = 1"""
+)
+def catalog_extras(spark, sf_dir):
+    """AG5, WN5, FS6: numbers of list items, spans of cells, targets of links and texts of pictures."""
+    return Corpus(catalog(spark, sf_dir), keep=False).extras.select("doc_id", "kind", "text", "a", "b")
+
+
+@query(
+    """with t as (select p_partkey as doc_id, unnest(list_distinct([p_name, p_brand, p_type, p_partkey::varchar])) as t from part),
+    b as (select doc_id, count(*) as n, sum(strlen(t)) as bytes from t group by doc_id), g as (select p_partkey as doc_id, p_size, len(list_distinct(string_split(p_name, ''))) as glyphs from part),
+    k as (select doc_id, unnest(['chunks', 'chunks', 'chunks', 'chunks', 'chunks', 'chunks', 'chunks', 'chunks', 'chunks', 'chunks', 'extras', 'extras', 'extras', 'extras', 'content', 'content', 'content', 'atlas glyphs', 'atlas page bytes', 'images', 'images', 'seal']) as topic,
+    unnest(['document', 'heading2', 'paragraph', 'list', 'list_item', 'table', 'table_row', 'table_cell', 'image', 'run', 'list_item_value', 'cell_span', 'link_target', 'image_alt', 'texts', 'text bytes', 'image references', '0', '0', 'images', 'pixels', 'sections covered']) as name,
+    unnest([1, 1, 6, 1, 2, 1, 1, 2, 1, 7, 2, case when p_size = 1 then 1 else 2 end, 1, 1, n, bytes, 1, glyphs, 1024, 1, 2 * p_size, 6])::bigint as n from b join g using (doc_id))
+    select * from k"""
+)
+def catalog_report(spark, sf_dir):
+    """SNK3, AG4 to AG9: reports of packages with an atlas and a picture each; sections' sizes and the number of properties are in other rows."""
+    docs = catalog(spark, sf_dir)
+    cps = F.array_sort(F.array_distinct(F.transform(F.split("p_name", ""), lambda c: F.ascii(c).cast("long"))))
+    glyph = lambda c: F.struct(c.alias("codepoint"), *[F.lit(0.5).cast("float").alias(x) for x in ("advance", "bearing_x", "bearing_y")], *[F.lit(v).alias(x) for x, v in (("box_x", 0), ("box_y", 0), ("box_w", 1), ("box_h", 1), ("page_index", 0), ("flags", 0))])
+    metrics = [F.lit(1.0).cast("float").alias(x) for x in ("ascent", "descent", "line_gap", "cap_height", "x_height", "units_per_em")]
+    page = F.unhex(F.repeat(F.lit("00"), 16 * 16 * 4))
+    atlas = F.struct(F.lit(0).alias("font_id"), F.lit(4).alias("padding"), F.lit(40960).cast("long").alias("texels_per_em"), *metrics, F.lit("f").alias("family"), F.lit(400).alias("weight"), F.lit(False).alias("italic"), F.lit(16).alias("page_width"), F.lit(16).alias("page_height"), F.transform(cps, glyph).alias("glyphs"), F.array().cast("array<struct<left: bigint, right: bigint, adjust: float>>").alias("kerning"), F.array(page).alias("pages"))
+    atlases = docs.select("doc_id", F.lit(0).alias("font_id"), atlas.alias("atlas"))
+    images = docs.select("doc_id", F.lit(0).alias("image_id"), F.col("p_size").alias("width"), F.lit(2).alias("height"), F.lit("rgb8").alias("format"), F.unhex(F.expr("repeat('7f', p_size * 6)")).alias("data"))
+    made = packages.pack(Corpus(docs), docs, atlases, images)
+    return packages.inspect(None, written(packages.unpack(made), "unpacked")).where("topic not like 'section %' and topic <> 'styles'")
+
+
+@query(
+    """select page_id, 'link in list_item' as issue, len(regexp_extract_all(html, '<li><a '))::bigint as n from pages where contains(html, '<li><a ')
+    union all select page_id, 'strong in document', 1::bigint from pages where contains(html, '<p><b>') and not contains(html, '</b>')"""
+)
+def tree_violations(spark, sf_dir):
+    """FIL5, TR4: nodes of all pages that stand where their kind may not, are too deep or too many, or aren't in NFC."""
+    found = tree_issues(pages(spark, sf_dir).nodes)
+    return found.groupBy(F.col("doc_id").alias("page_id"), "issue").agg(F.count("*").alias("n"))
