@@ -125,7 +125,7 @@ def best_fit(lengths: np.ndarray, size: int) -> np.ndarray:
 def pack(pieces: DataFrame, size: int = 1024, group: int = GROUP, rounds: int = ROUNDS) -> DataFrame:
     """pieces(doc_id, piece, start, length, ...) with sequence_id, offset and certified: whether their group meets its lower bound.
 
-    Method: full pieces are sequences of their own. The others are dealt to groups by hash and packed best-fit decreasing.
+    Method: full pieces are sequences of their own. The others are dealt to groups by a hash of their place in the table and packed best-fit decreasing.
     A group whose bins equal the bound from dual-feasible functions is final. From groups with a gap the bins that aren't
     full go, whole, to new groups and are packed again; a group keeps the old bins unless the new ones are fewer.
     """
@@ -156,7 +156,8 @@ def pack(pieces: DataFrame, size: int = 1024, group: int = GROUP, rounds: int =
         if not n:
             break
         groups = max(1, -(-n // group))
-        key = F.xxhash64(F.lit(r), *(["bin"] if r else ["doc_id", "piece", "ids_crc32"]))
+        # equal pieces are told apart by their places in the table
+        key = F.xxhash64(F.lit(r), *(["bin"] if r else [F.monotonically_increasing_id()]))
         dealt = todo.withColumn("g", F.pmod(key, F.lit(groups))).withColumn("tag", F.concat(F.lit(f"{r}-"), F.col("g").cast("string")))
         got = keep(dealt.groupBy("g").applyInPandas(again, schema), "packed")
         final = F.col("certified") | (F.col("fill") == size)
