@@ -2,10 +2,12 @@
 
 import hashlib
 import math
+import random
 import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from vellumspark.llm import ann, fingerprint, language, linededup, mixing, packing, pseudonyms, quality, toxicity
 from vellumspark.llm.common import components
@@ -542,3 +544,25 @@ def test_slots_are_spread(spark):
     for k, share in ((0, 0.5), (1, 0.2), (2, 0.3)):
         for n in (50, 200, 500, 900):
             assert abs(sum(1 for _, x in slots[:n] if x == k) - share * n) < 4
+
+
+def test_equal_pieces_are_dealt_to_many_groups(spark):
+    """100,000 rows without an id and with one text: no group holds more than its share, and sequences are full."""
+    rows = spark.range(100_000).select(F.lit(None).cast("long").alias("doc_id"), F.lit(0).alias("piece"), F.lit(0).cast("long").alias("start"), F.lit(100).cast("long").alias("length"), F.lit(7).cast("long").alias("ids_crc32"))
+    out = packing.pack(rows, group=5000, rounds=0)
+    got = out.groupBy("sequence_id").agg(F.sum("length").alias("n"), F.count("*").alias("k"))
+    tags = got.select(F.shiftright("sequence_id", 28).alias("g"), "k").groupBy("g").agg(F.sum("k").alias("k")).collect()
+    assert len(tags) == 20 and max(r["k"] for r in tags) < 6000 and sum(r["k"] for r in tags) == 100_000
+    assert got.where("n > 1024").count() == 0 and got.where("n < 1000").count() <= 20
+
+
+def test_toxicity_chooses_by_the_calibration_rows(spark):
+    """Held-out labels change nothing that is learned."""
+    rng = random.Random(8)
+    texts = [(i, " ".join(rng.choice(["vile", "awful"] if i % 3 == 0 and k % 4 == 0 else ["calm", "plain", "grey", "long"]) for k in range(40))) for i in range(600)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    marks = spark.createDataFrame([(i, int(i % 3 == 0)) for i, _ in texts], "doc_id long, toxic int")
+    other = marks.withColumn("toxic", F.when(toxicity.fold(5) == 0, 1 - F.col("toxic")).otherwise(F.col("toxic")))
+    a, b = toxicity.learn(docs, marks), toxicity.learn(docs, other)
+    assert (a.drift, a.rate, a.log_k, a.slope, a.shift) == (b.drift, b.rate, b.log_k, b.slope, b.shift) and (a.scores == b.scores).all()
+    assert a.drift in toxicity.DRIFTS

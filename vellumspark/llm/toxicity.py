@@ -7,6 +7,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,10 +20,9 @@ from .textkernel import LOWER, PUNCT, U, blocks, mix, spans, words
 EACH = 4000
 #: Tokens in fewer of the counted texts are unknown; so many are kept at most, by evidence.
 LEAST, TOKENS = 3, 60_000
-#: Weight of the Dirichlet prior, as a share of all counts.
-PRIOR = 0.2
-#: Taken from every token's log-odds, so that a neutral passage scores below zero.
-DRIFT = 0.7
+#: Weights of the Dirichlet prior, as shares of all counts, and what is taken from every token's log-odds so that a neutral passage
+#: scores below zero: those to choose from, by the calibration rows' log-loss.
+PRIORS, DRIFTS = (0.1, 0.2, 0.4), (0.5, 1.0, 1.5)
 #: Bytes of a word's stems, which are tokens too; the token of the strongest log-odds stands for the word.
 STEMS = (3, 4, 5, 6)
 
@@ -70,6 +70,7 @@ class Model:
     log_k: float
     slope: float = 1.0
     shift: float = 0.0
+    drift: float = 0.7
 
     def token_scores(self, hashes: list[np.ndarray]) -> np.ndarray:
         s = np.zeros(len(hashes[0]))
@@ -78,7 +79,7 @@ class Model:
                 k = np.minimum(np.searchsorted(self.known, x), len(self.known) - 1)
                 v = np.where(self.known[k] == x, self.scores[k], 0)
                 s = np.where(np.abs(v) > np.abs(s), v, s)
-        return s - DRIFT
+        return s - self.drift
 
     def evidence(self, s: np.ndarray) -> tuple[float, list[tuple[float, int, int]]]:
         """(evidence, the segments it rests on): the best over r of the r best segments' summed normalised scores."""
@@ -97,20 +98,22 @@ class Model:
         return 1 / (1 + math.exp(-max(-500.0, min(500.0, self.slope * evidence + self.shift))))
 
 
-def per_text(b: pa.RecordBatch, model: Model) -> Iterator[tuple[int, float, list[tuple[float, int, int]], np.ndarray, np.ndarray, int]]:
-    """(row, evidence, segments, token starts, token ends, first byte) of each text of a batch."""
+def per_text(b: pa.RecordBatch, models: list[Model]) -> Iterator[tuple[int, int, float, list[tuple[float, int, int]], np.ndarray, np.ndarray, int]]:
+    """(model, row, evidence, segments, token starts, token ends, first byte) of each text of a batch under each model."""
     for i, j, data, at in blocks(b.column("text")):
         a, z, row, hashes = tokens(data, at)
-        s = model.token_scores(hashes)
         cut = np.searchsorted(row, np.arange(j - i + 1))
-        for r in range(j - i):
-            own = slice(cut[r], cut[r + 1])
-            evidence, found = model.evidence(s[own])
-            yield i + r, evidence, found, a[own], z[own], int(at[r])
+        for m, model in enumerate(models):
+            s = model.token_scores(hashes)
+            for r in range(j - i):
+                own = slice(cut[r], cut[r + 1])
+                evidence, found = model.evidence(s[own])
+                yield m, i + r, evidence, found, a[own], z[own], int(at[r])
 
 
 def learn(docs: DataFrame, labels: DataFrame) -> Model:
-    """Fit on a bounded sample of labels(doc_id, toxic), none of the held-out fold."""
+    """Fit on a bounded sample of labels(doc_id, toxic), none of the held-out fold. The prior's weight and the drift are those of PRIORS and
+    DRIFTS under which the sample's calibration rows, which gave no counts, have the least log-loss."""
     ids = keep(sample_ids(labels.where(fold(5) != 0), "toxic", EACH, 2 * EACH), "sample")
     texts = keep(labelled_texts(docs, ids).withColumn("part", F.pmod(F.xxhash64(F.lit("part"), "doc_id"), F.lit(3))), "texts")
 
@@ -140,40 +143,59 @@ def learn(docs: DataFrame, labels: DataFrame) -> Model:
     expect = (F.col("y") + F.col("x")) * F.lit(ny / (ny + nx))
     top = counts.where(F.col("y") + F.col("x") >= LEAST).withColumn("z", F.abs(F.col("y") - expect) / F.sqrt(expect)).orderBy(F.desc("z"), "token").limit(TOKENS).toPandas()
     y, x = top["y"].to_numpy(float), top["x"].to_numpy(float)
-    # log-odds with the prior, drawn toward zero by one standard error
-    prior = PRIOR * (ny + nx)
-    alpha = PRIOR * (y + x)
-    a, b = y + alpha, x + alpha
-    odds = np.log(a / (ny + prior - a)) - np.log(b / (nx + prior - b))
-    s = np.sign(odds) * np.maximum(0, np.abs(odds) - np.sqrt(1 / a + 1 / b))
     known = top["token"].to_numpy(np.int64).view(U)
     order = np.argsort(known)
-    model = Model(known[order], s[order], 1.0, 0.0, 1.0, -1.0)
-    # lambda: the positive root of E exp(lambda * score) = 1 over the neutral texts' tokens
-    weight, value = np.append(x, max(0.0, nx - x.sum())), np.append(s, 0.0) - DRIFT
+    models = []
+    for weight in PRIORS:
+        # log-odds with the prior, drawn toward zero by one standard error
+        prior = weight * (ny + nx)
+        a, b = y + weight * (y + x), x + weight * (y + x)
+        odds = np.log(a / (ny + prior - a)) - np.log(b / (nx + prior - b))
+        scores = np.sign(odds) * np.maximum(0, np.abs(odds) - np.sqrt(1 / a + 1 / b))
+        for drift in DRIFTS:
+            models.append(Model(known[order], scores[order], root_rate(np.append(x, max(0.0, nx - x.sum())), np.append(scores, 0.0) - drift), 0.0, 1.0, -1.0, drift))
+    calibrated = texts.where("part = 0").select("toxic", "text")
+
+    def measured() -> pd.DataFrame:
+        shared = docs.sparkSession.sparkContext.broadcast(models)
+
+        def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                out = [(m, r, e, len(a), max((x[0] for x in found), default=0.0)) for m, r, e, found, a, _, _ in per_text(b, shared.value)]
+                kind = b.column("toxic").take(pa.array([o[1] for o in out], pa.int32()))
+                yield pa.RecordBatch.from_arrays([kind, *(pa.array([o[k] for o in out], t) for k, t in ((0, pa.int32()), (2, pa.float64()), (3, pa.int64()), (4, pa.float64())))], names=["toxic", "model", "e", "n", "best"])
+
+        return calibrated.mapInArrow(measure, "toxic int, model int, e double, n long, best double").toPandas()
+
+    for m, got in measured().groupby("model"):
+        clean = got[(got["toxic"] != 1) & (got["n"] > 0)]
+        if len(clean):
+            models[m].log_k = float((models[m].rate * clean["best"] - np.log(clean["n"])).mean()) - 0.5772
+    # the sum of r segments depends on K, so the evidence is measured again with it
+    best = None
+    for m, got in measured().groupby("model"):
+        e, is_toxic = got["e"].to_numpy(), (got["toxic"] == 1).to_numpy(float)
+        if not ((got["toxic"] != 1) & (got["n"] > 0)).any():
+            continue
+        model = models[m]
+        model.slope, model.shift = logistic(e, is_toxic)
+        p = np.clip(1 / (1 + np.exp(-np.clip(model.slope * e + model.shift, -500, 500))), 1e-9, 1 - 1e-9)
+        loss = float(-(is_toxic * np.log(p) + (1 - is_toxic) * np.log(1 - p)).mean())
+        if best is None or loss < best[0]:
+            best = loss, model
+    return best[1] if best else models[0]
+
+
+def root_rate(weight: np.ndarray, value: np.ndarray) -> float:
+    """Lambda: the positive root of E exp(lambda * score) = 1 over the neutral texts' tokens."""
     weight = weight / weight.sum()
-    if (value > 0).any():
-        lo, hi = 1e-6, 50.0
-        for _ in range(100):
-            mid = (lo + hi) / 2
-            lo, hi = (lo, mid) if (weight * np.exp(np.minimum(mid * value, 700))).sum() > 1 else (mid, hi)
-        model.rate = max(lo, 0.05)
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-
-    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            out = [(r, e, len(a), max((x[0] for x in found), default=0.0)) for r, e, found, a, _, _ in per_text(b, shared.value)]
-            yield pa.RecordBatch.from_arrays([b.column("toxic"), *(pa.array([o[k] for o in out], t) for k, t in ((1, pa.float64()), (2, pa.int64()), (3, pa.float64())))], names=["toxic", "e", "n", "best"])
-
-    got = texts.where("part = 0").select("toxic", "text").mapInArrow(measure, "toxic int, e double, n long, best double").toPandas()
-    clean = got[(got["toxic"] != 1) & (got["n"] > 0)]
-    if len(clean):
-        model.log_k = float((model.rate * clean["best"] - np.log(clean["n"])).mean()) - 0.5772
-        # the sum of r segments depends on K, so the evidence is measured again with it
-        shared = docs.sparkSession.sparkContext.broadcast(model)
-        got = texts.where("part = 0").select("toxic", "text").mapInArrow(measure, "toxic int, e double, n long, best double").toPandas()
-        model.slope, model.shift = logistic(got["e"].to_numpy(), (got["toxic"] == 1).to_numpy(float))
-    return model
+    if not (value > 0).any():
+        return 1.0
+    lo, hi = 1e-6, 50.0
+    for _ in range(100):
+        mid = (lo + hi) / 2
+        lo, hi = (lo, mid) if (weight * np.exp(np.minimum(mid * value, 700))).sum() > 1 else (mid, hi)
+    return max(lo, 0.05)
 
 
 def logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
@@ -211,7 +233,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
         model = shared.value
         for b in batches:
             p, where = [], []
-            for _, evidence, found, a, z, zero in per_text(b, model):
+            for _, _, evidence, found, a, z, zero in per_text(b, [model]):
                 p.append(model.probability(evidence))
                 # positions in the row's own bytes
                 where.append([{"first": int(a[f]) - zero, "end": int(z[e - 1]) - zero, "score": s} for s, f, e in found] if p[-1] >= 0.5 else [])
