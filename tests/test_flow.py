@@ -57,3 +57,11 @@ def test_paragraphs_are_those_of_the_chunks(spark):
                 below = lambda i: "".join((y["text"] or "") + below(j) for j, y in by.items() if y["parent_id"] == i)  # noqa: B023, E731
                 want.setdefault(doc, []).append(below(k))
     assert got == want and sum(map(len, got.values())) > 60
+
+
+def test_numbers_of_items_are_those_of_the_extras(spark):
+    lists = [("html", "<ol><li>a<p>x</p><li>b<ol start=9><li>c<li>d</ol><li>e</ol><ul><li>f</ul>"), ("html", "<ol start=18446744073709551614><li>a<li>b<li>c</ol>"), ("markdown", "7. a\n8. b\n\n- c\n  1. d")]
+    c = Corpus(spark.createDataFrame([(i, *r) for i, r in enumerate(lists)], "doc_id long, kind string, source string"))
+    got = sorted((r["doc_id"], r["value"]) for r in flow.list_values(c.nodes).collect())
+    want = sorted((r["doc_id"], r["a"]) for r in c.extras.where("kind = 'list_item_value'").collect())
+    assert got == want and len(want) == 11

@@ -165,3 +165,18 @@ def test_glyphs_by_ranges(spark):
             have.setdefault((f, c), (0, c - 599) if c <= 650 else (1, c - 140))
     got = {(r["face"], r["cp"]): (r["source"], r["glyph"]) for r in G.mapped(wanted, spans, more).collect()}
     assert len(got) == 20 and got == {k: have.get(k, (None, None)) for k in got}
+
+
+def test_field_errors(spark):
+    """Masks of the test glyphs: what the expressions say of them is what numpy says, and small."""
+    r = Registry()
+    r.add("Noto Sans", 400, False, font())
+    faces = spark.createDataFrame([("Noto Sans", 400, False, cp) for cp in (32, 65, 66, 67, 90)] + [("none", 400, False, 65)], "family string, weight int, italic boolean, cp int")
+    got = {(x["cp"], x["dx"], x["dy"]): x for x in atlases.field_errors(faces, r).collect()}
+    assert {k[0] for k in got} == {65, 66, 67} and len(got) == 15
+    pixels, first = A.render(Font(font()).outline(2), 0.04, 4)
+    want = A.coverage(Font(font()).outline(2), 0.04, (first[0] + 0.25, first[1]), pixels.shape[1], pixels.shape[0], 8)
+    d = A.reconstruct(pixels, 1.0, 0.25, 0).astype("f4") - want.astype("f4")
+    x = got[66, 0.25, 0.0]
+    assert abs(x["rmse"] - float((d.astype(float) ** 2).mean() ** 0.5)) < 1e-6 and abs(x["worst"] - float(abs(d).max())) < 1e-6
+    assert all(x["rmse"] < 0.1 and x["worst"] < 0.6 for x in got.values())

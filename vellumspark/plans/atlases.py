@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from vellumspark.operators import atlas as A
+from vellumspark.operators import masks as M
 from vellumspark.operators import relational as R
 from vellumspark.operators.geometry import bounds
 from vellumspark.sources.fonts import Font, FontError, Registry
@@ -65,6 +66,37 @@ def drawn(faces: DataFrame, fonts: Registry, texels: float = TEXELS, padding: in
     return faces.select("family", "weight", "italic", "cp").mapInPandas(draw, schema)
 
 
+def field_errors(faces: DataFrame, fonts: Registry, texels: float = TEXELS, padding: int = PADDING, shift: float = 0.25, finer: int = 8) -> DataFrame:
+    """family, weight, italic, cp, dx, dy, rmse, worst: how far the coverage that a glyph's field gives is from that of its outline.
+
+    faces: distinct family, weight, italic, cp. Each glyph is compared in place and moved by `shift` texels each way. Masks are made by the
+    kernels that draw, `finer` samples a side; what they come to is an expression over the two arrays. Glyphs without a face or an outline stay away.
+    """
+    shared = faces.sparkSession.sparkContext.broadcast(fonts)
+    schema = "family string, weight int, italic boolean, cp int, dx double, dy double, got array<float>, want array<float>"
+
+    def masks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            rows = []
+            for family, weight, italic, cp in pdf[["family", "weight", "italic", "cp"]].itertuples(index=False):
+                try:
+                    font = Font(shared.value.resolve(family, int(weight), bool(italic)))
+                except FontError:
+                    continue
+                outline = font.outline(font.cmap[cp]) if cp in font.cmap else []
+                drawn_ = A.render(outline, texels / font.units, padding) if outline else None
+                if drawn_ is None:
+                    continue
+                pixels, first = drawn_
+                for dx, dy in ((0.0, 0.0), (shift, 0.0), (-shift, 0.0), (0.0, shift), (0.0, -shift)):
+                    want = A.coverage(outline, texels / font.units, (first[0] + dx, first[1] + dy), pixels.shape[1], pixels.shape[0], finer)
+                    rows.append((family, weight, italic, cp, dx, dy, A.reconstruct(pixels, 1.0, dx, dy).astype(np.float32).ravel(), want.astype(np.float32).ravel()))
+            yield pd.DataFrame(rows, columns=["family", "weight", "italic", "cp", "dx", "dy", "got", "want"])
+
+    made = faces.select("family", "weight", "italic", "cp").mapInPandas(masks, schema)
+    return made.withColumn("e", M.error(F.col("got"), F.col("want"))).select("family", "weight", "italic", "cp", "dx", "dy", "e.rmse", "e.worst")
+
+
 def build(corpus: Corpus, fonts: Registry, texels: float = TEXELS, padding: int = PADDING) -> DataFrame:
     """doc_id, font_id, atlas, missing array<int>: an atlas for each face of each document. A face that no font fits has no atlas."""
     if not (isfinite(texels) and texels > 0):

@@ -28,6 +28,7 @@ STYLE = (
     "margin_bottom float, text_align int, text_indent float, list_style int, code boolean, underline boolean, letter_spacing float, white_space int"
 )
 FIELDS = [x.split()[0] for x in STYLE.split(", ")]
+FLOATS = [x.split()[0] for x in STYLE.split(", ") if x.split()[1] == "float"]
 DEFAULT = (DEFAULT_FAMILY, 16.0, 1.5, 400, False, 0x000000FF, 0, 0.0, 0.0, 0, 0.0, 0, False, False, 0.0, 0)
 MARKERS = {1: "•", 2: "◦", 3: "▪", 4: "0123456789.", 5: "abcdefghijklmnopqrstuvwxyz.", 6: "ABCDEFGHIJKLMNOPQRSTUVWXYZ.", 7: "ivxlcdm.", 8: "IVXLCDM."}
 SMALLEST, LARGEST = 1.0, 4096.0
@@ -171,12 +172,17 @@ class Corpus:
     @cached_property
     def style_of(self) -> DataFrame:
         """doc_id, request, style_id."""
-        keys = [F.col(f"c.{f}").eqNullSafe(F.col(f"s.{f}")) for f in FIELDS]
-        c = self.computed.where("seq is not null").withColumn("odd", F.when(F.isnan("line_height"), F.col("seq"))).alias("c")
-        cond = F.col("c.doc_id") == F.col("s.doc_id")
-        for k in [*keys, F.col("c.odd").eqNullSafe(F.col("s.odd"))]:
-            cond = cond & k
-        return c.join(self.styles.alias("s"), cond).select("c.doc_id", "c.request", "s.style_id")
+        # one hash finds the style, its fields decide; zeros of either sign are one
+        plain = lambda side: [F.col(f"{side}.{f}") + F.lit(0).cast("float") if f in FLOATS else F.col(f"{side}.{f}") for f in FIELDS]
+        hashed = lambda df, side: df.alias(side).select(f"{side}.*", F.xxhash64(*plain(side), F.col(f"{side}.odd")).alias("hash")).alias(side)
+        c = hashed(self.computed.where("seq is not null").withColumn("odd", F.when(F.isnan("line_height"), F.col("seq"))), "c")
+        s = hashed(self.styles, "s")
+        same = F.col("c.odd").eqNullSafe(F.col("s.odd"))
+        for f in FIELDS:
+            # as a condition on found pairs, not a key of the join
+            same = same & F.expr(f"(c.{f} is null and s.{f} is null) or coalesce(c.{f} = s.{f}, false)")
+        met = c.join(s, (F.col("c.doc_id") == F.col("s.doc_id")) & (F.col("c.hash") == F.col("s.hash")))
+        return met.where(same).select("c.doc_id", "c.request", "s.style_id")
 
     @cached_property
     def style_properties(self) -> DataFrame:

@@ -126,3 +126,10 @@ def paragraphs(nodes: DataFrame) -> DataFrame:
     piece = F.when(~F.col("is_block") & (F.col("text") != ""), F.struct("node_id", "text"))
     out = marks.groupBy("doc_id", F.col("mark.node_id").alias("node_id"), F.col("mark.implied").alias("implied")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(piece)), lambda x: x["text"]), "").alias("text"))
     return out
+
+
+def list_values(nodes: DataFrame) -> DataFrame:
+    """doc_id, node_id, value: what the items of ordered lists are numbered, from nodes(doc_id, node_id, parent_id, kind, list_start): from the list's start, or 1, on; what is no item doesn't count."""
+    lists = nodes.where("kind = 'ordered_list'").select("doc_id", F.col("node_id").alias("parent_id"), F.coalesce("list_start", F.lit(1).cast("decimal(20,0)")).alias("start"))
+    kids = nodes.select("doc_id", "node_id", "parent_id", "kind").join(lists, ["doc_id", "parent_id"])
+    return R.numbered(kids, ["doc_id", "parent_id"], "node_id", F.col("kind") == "list_item", F.col("start")).where("value is not null").select("doc_id", "node_id", "value")

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from vellumspark.operators import checksums, glyphs
+from vellumspark.operators import checksums, glyphs, masks
 from vellumspark.operators import relational as R
 from vellumspark.operators.checksums import POLYNOMIAL
 from vellumspark.operators.partition import CHUNK_CODES
@@ -726,3 +726,19 @@ def tree_violations(spark, sf_dir):
     """FIL5, TR4: nodes of all pages that stand where their kind may not, are too deep or too many, or aren't in NFC."""
     found = tree_issues(pages(spark, sf_dir).nodes)
     return found.groupBy(F.col("doc_id").alias("page_id"), "issue").agg(F.count("*").alias("n"))
+
+
+@query("select p_partkey as doc_id, unnest([p_size, p_size + 1])::bigint as value from part")
+def catalog_numbers(spark, sf_dir):
+    """WN5: the numbers of list items, from the rows of the trees alone."""
+    return flow.list_values(Corpus(catalog(spark, sf_dir), keep=False).nodes).select("doc_id", "value")
+
+
+@query(
+    """select l_orderkey, count(*)::int as n, round(sqrt(avg((l_discount - l_tax) * (l_discount - l_tax))), 9) as rmse, round(max(abs(l_discount - l_tax)), 9) as worst from lineitem group by l_orderkey"""
+)
+def mask_error(spark, sf_dir):
+    """AG20, AT13: how far two arrays are apart, as atlases.field_errors compares masks."""
+    d = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_discount", "l_tax"))).alias("x"))
+    e = masks.error(F.transform("x", lambda y: y["l_discount"]), F.transform("x", lambda y: y["l_tax"]))
+    return d.select("l_orderkey", F.size("x").alias("n"), F.round(e["rmse"], 9).alias("rmse"), F.round(e["worst"], 9).alias("worst"))
