@@ -21,6 +21,9 @@ from pyspark.sql import functions as F
 BROADCAST_BYTES = 2_000_000
 #: Bits of a sieve at most: 4 MB.
 SIEVE_BITS = 25
+#: Characters of a plan that the driver keeps of each query it has run, for its status pages. A session of thousands of queries holds
+#: a thousand of them, and again at each step that they are planned anew.
+PLAN_TEXT = 4096
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -45,6 +48,7 @@ _made: list[list[DataFrame]] = []
 def keep(df: DataFrame, name: str) -> DataFrame:
     """Write df to the shared folder and read it again: lineage ends there, and a lost executor costs nothing."""
     spark = df.sparkSession
+    spark.conf.set("spark.sql.maxPlanStringLength", str(PLAN_TEXT))
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     kept = spark.read.schema(df.schema).parquet(path)
