@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from vellumspark.functions import css_columns
 from vellumspark.operators.partition import CHUNK_CODES, EXTRA_CODES, STRUCTURAL
 from vellumspark.operators import relational as R
 from vellumspark.sources import documents
@@ -111,7 +112,7 @@ class Corpus:
         schema = f"ord int, spec array<int>, chain array<struct<{documents.HINT}>>, declarations array<struct<{documents.DECLARATION}>>"
         shared = self.spark.createDataFrame([(r["ord"], r["spec"], [tuple(c.values()) for c in r["chain"]], [tuple(d.values()) for d in r["declarations"]]) for r in self.shared_rules], schema)
         own = self.parsed.select("doc_id", F.inline("rules"))
-        last = lambda df: df.withColumn("last", F.element_at("chain", -1))
+        last = lambda df: df.withColumn("last", F.element_at("chain", -1)).withColumn("declarations", css_columns.typed(F.col("declarations")))
         return last(shared), last(own)
 
     @cached_property
@@ -143,7 +144,8 @@ class Corpus:
     def cascade(self) -> DataFrame:
         """doc_id, request, name and the winning value: inline style last, then specificity, order of rules, order in the rule."""
         rules = self.matches.select("doc_id", "request", F.lit(0).alias("inline"), "spec", "ord", F.inline("declarations"))
-        inline = self.parsed.select("doc_id", F.inline("inline")).join(self.requests.select("doc_id", "request", "node"), ["doc_id", "node"])
+        inline = self.parsed.select("doc_id", F.inline("inline")).select("doc_id", "node", F.inline(css_columns.typed(F.array(F.struct("idx", "name", "text")))))
+        inline = inline.join(self.requests.select("doc_id", "request", "node"), ["doc_id", "node"])
         inline = inline.select("doc_id", "request", F.lit(1).alias("inline"), F.array(F.lit(0), F.lit(0), F.lit(0)).alias("spec"), F.lit(0).alias("ord"), "idx", "name", "number", "unit", "code", "word")
         both = rules.unionByName(inline)
         return R.last_wins(both.repartition("doc_id", "request"), ["doc_id", "request", "name"], ["number", "unit", "code", "word"], ["inline", "spec", "ord", "idx"])

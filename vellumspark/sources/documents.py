@@ -11,14 +11,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from vellumspark.functions.css_values import declared
+from vellumspark.functions.css_values import PARSERS
 from vellumspark.operators.partition import Partition, tag_of
 from vellumspark.operators.tree import TreeError, from_html
 
 from . import css, markdown
 
 HINT = "tag: string, id: string, classes: array<string>"
-DECLARATION = "idx: int, name: string, number: float, unit: string, code: long, word: string"
+DECLARATION = "idx: int, name: string, text: string"
 SCHEMA = f"""doc_id long, kind string, title string, lang string, sheets array<string>, error string,
 nodes array<struct<node_id: int, parent_id: int, path: array<int>, depth: int, kind: string, level: int, text: string, href: string, src: string, alt: string,
   colspan: long, rowspan: long, list_start: decimal(20,0), hidden: boolean, {HINT}, inline: string>>,
@@ -55,13 +55,8 @@ DOCUMENT_RULES, USER_RULES = 1_000_000, 1_000_000_000
 
 
 def declarations(pairs: list[tuple[str, str]]) -> list[dict]:
-    """Those that are understood, as typed values."""
-    out = []
-    for i, (name, text) in enumerate(pairs):
-        v = declared(name, text)
-        if v is not None:
-            out.append({"idx": i, "name": name, "number": v.number, "unit": v.unit, "code": v.code, "word": v.word})
-    return out
+    """Those of known properties, with their texts; functions.css_columns reads the values."""
+    return [{"idx": i, "name": name, "text": text} for i, (name, text) in enumerate(pairs) if name in PARSERS]
 
 
 def rules(text: str, first: int) -> list[dict]:
