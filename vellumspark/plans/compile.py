@@ -3,7 +3,7 @@
 Parsing and partitioning run once per document in Python (sources.documents); the parsed table, and the styles that requests
 come to, are written to the shared folder once and read by column. Matching rules, the cascade, sharing of styles
 and texts, ordering and counting are relational, keyed by doc_id throughout, so that one exchange by doc_id serves each view.
-Inheritance doubles its way up from each request (plans.inherit); no view but the parse itself runs Python.
+Inheritance joins declarations with the ways up of all requests (plans.inherit); no view but the parse itself runs Python.
 """
 
 from __future__ import annotations
@@ -153,9 +153,8 @@ class Corpus:
     @cached_property
     def computed(self) -> DataFrame:
         """doc_id, request, seq, marks and the style that each request came to."""
-        asked = self.parsed.select("doc_id", F.explode("requests").alias("r")).select("doc_id", *[F.col(f"r.{c}") for c in ("request", "above", "seq", "code", "marks")])
         types = dict(x.split() for x in STYLE.split(", "))
-        args = (asked, self.cascade, dict(zip(FIELDS, DEFAULT)), types, SMALLEST, LARGEST)
+        args = (self.parsed, self.cascade, dict(zip(FIELDS, DEFAULT)), types, SMALLEST, LARGEST)
         if not self._keep:
             return inherit.computed(*args)
         with scope() as spare:

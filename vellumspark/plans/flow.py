@@ -21,8 +21,6 @@ from vellumspark.operators.tree import BLOCK, BREAKS, FLOWING, Node, TreeError,
 from vellumspark.sources import markdown
 from vellumspark.sources.shared import written
 
-from . import inherit
-
 RAW = "doc_id long, error string, nodes array<struct<node_id: int, parent_id: int, block: int, kind: string, text: string, leaf: boolean>>"
 #: Whose children stand where blocks stand, and whose children are blocks with flowing content between.
 HOLDS_BLOCKS = ("document", "quote", "table", "table_row", "ordered_list", "unordered_list", "image")
@@ -90,11 +88,22 @@ def folded(trees: DataFrame) -> DataFrame:
     return line.where("t <> ''").select("doc_id", "node_id", "block", F.col("t").alias("text"))
 
 
+def doubled(rows: DataFrame, keep: list[str], gather) -> DataFrame:
+    """rows(doc_id, request, above, ...) with each one's `keep` columns gathered from all above it. above: the next request that isn't
+    gathered yet, -1 for none. gather(own, upper): the column that two neighbouring stretches come to. Each round doubles the way."""
+    while rows.where("above >= 0").head() is not None:
+        upper = rows.select("doc_id", F.col("request").alias("above"), F.col("above").alias("_above"), *[F.col(f"`{c}`").alias(f"_{c}") for c in keep])
+        others = [F.col(f"`{c}`") for c in rows.columns if c not in ("above", *keep)]
+        on = rows.where("above >= 0").join(upper, ["doc_id", "above"]).select(*others, F.col("_above").alias("above"), *[gather(F.col(f"`{c}`"), F.col(f"`_{c}`")).alias(c) for c in keep])
+        rows = written(rows.where("above < 0").unionByName(on), "inherited")
+    return rows
+
+
 def paragraphs(nodes: DataFrame) -> DataFrame:
     """doc_id, node_id, implied, text: the paragraphs of nodes(doc_id, node_id, parent_id, kind, text), which are in pre-order, named by their first node.
 
     Below what holds flowing content nothing is a block, however deep: whether a node stands where blocks do is gathered from all above
-    it (plans.inherit.doubled). A paragraph is a node of that kind there, or implied: what flows between blocks in an item, a cell or a wrapper shares one, and what flows
+    it (doubled). A paragraph is a node of that kind there, or implied: what flows between blocks in an item, a cell or a wrapper shares one, and what flows
     among blocks elsewhere is one each. Break marks stand at blocks; islands between them, under one parent, are paragraphs.
     A text belongs to the last mark before it in pre-order.
     """
@@ -109,7 +118,7 @@ def paragraphs(nodes: DataFrame) -> DataFrame:
     rows = rows.withColumn("is_block", block).withColumn("both", both).withColumn("among", among)
     here = F.col("parent_id").isNull() | (F.col("parent_id") < 0) | F.col("among") | (F.col("both") & F.col("is_block"))
     place = rows.select("doc_id", F.col("node_id").alias("request"), F.col("parent_id").alias("above"), here.alias("here"))
-    place = inherit.doubled(written(place, "places"), ["here"], lambda own, upper: own & upper).select("doc_id", F.col("request").alias("node_id"), "here")
+    place = doubled(written(place, "places"), ["here"], lambda own, upper: own & upper).select("doc_id", F.col("request").alias("node_id"), "here")
     # what stands in a block that stands among blocks, and itself
     rows = rows.join(place, ["doc_id", "node_id"]).join(place.select("doc_id", F.col("node_id").alias("parent_id"), F.col("here").alias("in_here")), ["doc_id", "parent_id"], "left")
     rows = written(rows.withColumn("is_block", F.col("is_block") & F.col("here")).withColumn("both", F.col("both") & F.coalesce("in_here", F.lit(False))).withColumn("among", F.col("among") & F.coalesce("in_here", F.lit(False))), "placed")

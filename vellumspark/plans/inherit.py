@@ -1,9 +1,9 @@
-"""Inheritance without a walk: what a request comes to, by pointers that double.
+"""Inheritance without a walk: what a request comes to, from the ways up of all requests.
 
-A request inherits from the one above it, that one from its own, and so on. Each request holds what it has gathered so far and a
-pointer to the request that it has gathered up to; a round joins it with what that one has gathered, so a round doubles the way
-and a tree of depth d takes as many rounds as d has bits. Font sizes come first, as sequences of factors that end at an absolute
-size; then each request's own lengths are known, and what remains is to find the nearest value of each field.
+A request inherits from the one above it, that one from its own, and so on. The ways up are made inside a document's row, by
+pointers that double: each round joins a stretch with the one that it leads to, so a tree of depth d takes as many rounds as d has
+bits. Declarations then meet the ways that lead past them by a join: font sizes first, as factors applied from the top down; then the nearest
+value of each field.
 """
 
 from __future__ import annotations
@@ -19,8 +19,9 @@ CODES = {
     "font-weight": "font_weight", "font-style": "italic", "color": "color", "background-color": "background", "text-align": "text_align", "list-style-type": "list_style", "white-space": "white_space",
     "text-decoration": "underline",
 }
-RELATIVE = ("em", "%")
-FACTOR = "array<struct<number: float, unit: string>>"
+FACTORS = "array<struct<pos: int, number: float, unit: string>>"
+#: Rounds of doubling: a way up has two requests at most for each level of a tree, which has 128 (operators.tree).
+ROUNDS = 9
 
 
 def f32(x: float) -> Column:
@@ -44,42 +45,47 @@ def declared(cascade: DataFrame) -> DataFrame:
     return cascade.groupBy("doc_id", "request").agg(*[F.max(F.when(F.col("name") == n, value)).alias(n) for n in names])
 
 
-def doubled(rows: DataFrame, keep: list[str], gather) -> DataFrame:
-    """rows(doc_id, request, above, ...) with each one's `keep` columns gathered from all above it. above: the next request that isn't
-    gathered yet, -1 for none. gather(own, upper): the column that two neighbouring stretches come to."""
-    while rows.where("above >= 0").head() is not None:
-        upper = rows.select("doc_id", F.col("request").alias("above"), F.col("above").alias("_above"), *[F.col(f"`{c}`").alias(f"_{c}") for c in keep])
-        others = [F.col(f"`{c}`") for c in rows.columns if c not in ("above", *keep)]
-        on = rows.where("above >= 0").join(upper, ["doc_id", "above"]).select(*others, F.col("_above").alias("above"), *[gather(F.col(f"`{c}`"), F.col(f"`_{c}`")).alias(c) for c in keep])
-        rows = written(rows.where("above < 0").unionByName(on), "inherited")
-    return rows
+def ways(parsed: DataFrame) -> DataFrame:
+    """doc_id, request, pos, up: the requests that each one of parsed(doc_id, requests) inherits from, itself at 0, the one above it at 1, and so on."""
+    start = F.struct(F.transform("requests", lambda r: r["above"]).alias("to"), F.transform("requests", lambda r: F.array(r["request"])).alias("way"))
 
+    def longer(s: Column, _: Column) -> Column:
+        to, way = s["to"], s["way"]
+        on = F.transform(way, lambda x, i: F.when(F.get(to, i) >= 0, F.concat(x, F.get(way, F.get(to, i)))).otherwise(x))
+        return F.struct(F.transform(to, lambda t: F.when(t >= 0, F.get(to, t)).otherwise(-1)).alias("to"), on.alias("way"))
 
-def font_sizes(asked: DataFrame, default: float, smallest: float, largest: float) -> DataFrame:
-    """asked(doc_id, request, above, `font-size`) with size: factors gathered down to an absolute size, or to the default, and applied in turn."""
+    # a fold, as its state is made once a round, where an expression over expressions would be made again at each place
+    rows = parsed.select("doc_id", F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), start, longer)["way"].alias("way"))
+    rows = rows.select("doc_id", F.posexplode("way").alias("request", "way"))
+    return rows.select("doc_id", "request", F.posexplode("way").alias("pos", "up"))
+
+
+def font_sizes(asked: DataFrame, up: DataFrame, default: float, smallest: float, largest: float) -> DataFrame:
+    """asked with size: the declared sizes on the way, from the top down, each taken at the one before."""
     d = F.col("`font-size`")
-    own = F.when(d.isNotNull(), F.array(F.struct(d["number"].alias("number"), d["unit"].alias("unit")))).otherwise(F.array()).cast(FACTOR)
-    absolute = d.isNotNull() & ~F.coalesce(d["unit"].isin(*RELATIVE), F.lit(False))
-    rows = asked.select("doc_id", "request", F.when(absolute, -1).otherwise(F.col("above")).alias("above"), own.alias("factors"))
-    rows = doubled(written(rows, "factors"), ["factors"], lambda own, upper: F.concat(upper, own))
-    size = F.aggregate("factors", f32(default), lambda s, x: clamped(px(x["number"], x["unit"], s), smallest, largest))
-    return rows.select("doc_id", "request", size.alias("size"))
+    sizes = asked.where(d.isNotNull()).select("doc_id", F.col("request").alias("up"), d["number"].alias("number"), d["unit"].alias("unit"))
+    met = up.join(sizes, ["doc_id", "up"]).groupBy("doc_id", "request").agg(F.sort_array(F.collect_list(F.struct("pos", "number", "unit")), False).alias("factors"))
+    size = F.aggregate(F.coalesce("factors", F.array().cast(FACTORS)), f32(default), lambda s, x: clamped(px(x["number"], x["unit"], s), smallest, largest))
+    return asked.join(met, ["doc_id", "request"], "left").withColumn("size", size).drop("factors")
 
 
-def computed(requests: DataFrame, cascade: DataFrame, default: dict, types: dict[str, str], smallest: float, largest: float) -> DataFrame:
-    """doc_id, request, seq, marks and the style of requests(doc_id, request, above, seq, code, marks), by the winning declarations of cascade.
+def computed(parsed: DataFrame, cascade: DataFrame, default: dict, types: dict[str, str], smallest: float, largest: float) -> DataFrame:
+    """doc_id, request, seq, marks and the style of the requests of parsed, by the winning declarations of cascade.
 
     Everything inherits. A field's value is that of the nearest request, itself included, that declares it; a length is taken at
     the font size of the request that declares it.
     """
+    requests = parsed.select("doc_id", F.explode("requests").alias("r")).select("doc_id", *[F.col(f"r.{c}") for c in ("request", "seq", "code", "marks")])
     asked = written(requests.join(declared(cascade), ["doc_id", "request"], "left"), "asked")
-    sizes = font_sizes(asked, default["font_size_px"], smallest, largest)
-    rows = asked.join(sizes, ["doc_id", "request"])
+    up = ways(parsed)
+    rows = font_sizes(asked, up, default["font_size_px"], smallest, largest)
     of = lambda name: F.col(f"`{name}`")
     fields = {"line_height": of("line-height")["number"], "font_family": of("font-family")["word"], "code": F.when(F.col("code"), True)}
     fields |= {field: F.when(of(name).isNotNull(), px(of(name)["number"], of(name)["unit"], F.col("size"))) for name, field in LENGTHS.items()}
     fields |= {field: of(name)["code"].cast(types[field]) for name, field in CODES.items()}
-    own = written(rows.select("doc_id", "request", "above", "seq", "marks", F.col("size").alias("font_size_px"), *[c.cast(types[k]).alias(k) for k, c in fields.items()]), "own")
-    found = doubled(own, list(fields), lambda own, upper: F.coalesce(own, upper))
+    own = written(rows.select("doc_id", "request", "seq", "marks", F.col("size").alias("font_size_px"), *[c.cast(types[k]).alias(k) for k, c in fields.items()]), "own")
+    says = own.where(F.coalesce(*[F.when(F.col(k).isNotNull(), True) for k in fields]).isNotNull()).select("doc_id", F.col("request").alias("up"), *fields)
+    near = up.join(says, ["doc_id", "up"]).groupBy("doc_id", "request").agg(*[F.min_by(k, F.when(F.col(k).isNotNull(), F.col("pos"))).alias(k) for k in fields])
+    found = own.select("doc_id", "request", "seq", "marks", "font_size_px").join(near, ["doc_id", "request"], "left")
     style = [F.coalesce(F.col(k), F.lit(default[k]).cast(t)).alias(k) for k, t in types.items()]
     return found.select("doc_id", "request", "seq", "marks", *style)
