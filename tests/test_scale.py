@@ -11,3 +11,23 @@ def test_nearest_has_no_frame_to_the_end(spark, capsys):
     got.explain(True)
     assert "unboundedfollowing" not in capsys.readouterr().out.lower()
     assert sorted((r["i"], r["x"]) for r in got.collect()) == [(1, 5), (2, 9)]
+
+
+def test_a_small_file_is_parsed_by_many_tasks(spark):
+    from vellumspark.plans import flow
+    from vellumspark.sources import documents
+
+    docs = spark.createDataFrame([(i, "html", f"<p>{i}") for i in range(40)], "doc_id long, kind string, source string").coalesce(1)
+    for made in (documents.parse(docs), flow.raw(docs)):
+        assert made.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions")) > 1
+        assert sorted(r["doc_id"] for r in made.collect()) == list(range(40))
+
+
+def test_numbers_of_items_come_from_one_parse(spark):
+    """The query's plan reads nodes that were written; none of its branches parses."""
+    import os
+
+    from vellumspark.plans import queries as Q
+
+    plan = Q.catalog_numbers(spark, os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001"))._jdf.queryExecution().toString()
+    assert "MapInArrow" not in plan

@@ -19,7 +19,7 @@ from vellumspark.functions.text import collapse_column
 from vellumspark.operators import relational as R
 from vellumspark.operators.tree import BLOCK, BREAKS, FLOWING, Node, TreeError, from_html
 from vellumspark.sources import markdown
-from vellumspark.sources.shared import written
+from vellumspark.sources.shared import spread, written
 
 RAW = "doc_id long, error string, nodes array<struct<node_id: int, parent_id: int, block: int, kind: string, text: string, leaf: boolean>>"
 #: Whose children stand where blocks stand, and whose children are blocks with flowing content between.
@@ -57,7 +57,7 @@ def raw(docs: DataFrame) -> DataFrame:
                     row["error"] = f"tree: {e}"
                 yield pa.RecordBatch.from_pylist([row], schema=arrow)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "kind", "source").mapInArrow(read, schema)
+    return spread(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "kind", "source")).mapInArrow(read, schema)
 
 
 def folded(trees: DataFrame) -> DataFrame:
