@@ -31,3 +31,16 @@ def test_numbers_of_items_come_from_one_parse(spark):
 
     plan = Q.catalog_numbers(spark, os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001"))._jdf.queryExecution().toString()
     assert "MapInArrow" not in plan
+
+
+def test_a_parse_hands_on_few_documents_at_a_time(spark):
+    """Sixty documents of 10,000 characters are one batch for Spark and several for the parse."""
+    import pyarrow as pa
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    from vellumspark.sources import documents
+
+    batch = pa.RecordBatch.from_pylist([{"doc_id": i, "kind": "markdown", "source": "word " * 2000} for i in range(60)])
+    got = list(documents.parsed(batch, to_arrow_schema(spark.createDataFrame([], documents.SCHEMA).schema)))
+    assert len(got) > 1 and max(map(len, got)) < 60
+    assert [i for b in got for i in b.column("doc_id").to_pylist()] == list(range(60))
