@@ -33,6 +33,21 @@ def test_numbers_of_items_come_from_one_parse(spark):
     assert "MapInArrow" not in plan
 
 
+def test_a_small_file_is_no_reason_to_broadcast(spark):
+    """20,000 equal rows of a kilobyte are a small file and 20 MB on the driver."""
+    from pyspark.sql import functions as F
+
+    from vellumspark.sources import shared
+
+    spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.unset("spark.sql.adaptive.autoBroadcastJoinThreshold")
+    t = shared.written(spark.range(20_000).select("id", F.repeat(F.lit("x"), 1000).alias("v")), "wide")
+    met = spark.range(400_000).join(t, "id")
+    assert met.select(F.sum(F.length("v"))).head()[0] == 20_000_000
+    met.collect()
+    assert "BroadcastHashJoin" not in met._jdf.queryExecution().executedPlan().toString()
+
+
 def test_a_parse_hands_on_few_documents_at_a_time(spark):
     """Sixty documents of 10,000 characters are one batch for Spark and several for the parse."""
     import pyarrow as pa
