@@ -68,3 +68,31 @@ def test_empty_and_null(spark):
     df = spark.createDataFrame([(None, 1), ("a b c d e f", None), ("a b c d e f", 3), ("a b c d e f", 3), ("a b c d e f", 2)], "text string, doc_id long")
     got = sorted(map(tuple, similarity_classes(df).collect()), key=str)
     assert got == sorted([(1, 0, 1), (None, 2, None), (3, 2, 2), (3, 2, 2), (2, 2, 2)], key=str)
+
+
+def strays(spark, members, size, kept):
+    """A leader 0 and members that each differ from it in all but `kept` of its shingles, every two neighbours alike, none linked yet."""
+    apart = [[1000 * (i // 2) + j for j in range(size)] for i in range(members)]
+    rows = [(0, i + 1, False, apart[i], 100, size + 100 - kept) for i in range(members)]
+    return spark.createDataFrame(rows, "a long, b long, linked boolean, apart array<long>, n long, d long")
+
+
+def test_few_members_meet_as_pairs_and_many_by_shingles(spark):
+    """Eight members of 40 shingles each are 64 pairs, not 320 rows of shingles; a hundred with two each are 200, not 10,000."""
+    from vellumspark.llm.jaccard import paired
+
+    labels = spark.createDataFrame([], "node long, component long")
+    pairs, many = paired(strays(spark, 8, 40, 90), labels, 90)
+    assert many.count() == 0 and pairs.count() == 28
+    pairs, many = paired(strays(spark, 100, 2, 90), labels, 90)
+    assert many.count() == 100 and pairs.count() == 0
+
+
+def test_paired_leaves_out_sizes_that_cannot_be_alike(spark):
+    from vellumspark.llm.jaccard import paired
+
+    rows = [(0, 1, False, [1] * 9, 100, 50), (0, 2, False, [2] * 9, 100, 55), (0, 3, False, [3] * 9, 150, 50), (0, 4, True, [4] * 9, 100, 45)]
+    tested = spark.createDataFrame(rows, "a long, b long, linked boolean, apart array<long>, n long, d long")
+    labels = spark.createDataFrame([(0, 0), (4, 0)], "node long, component long")
+    pairs, _ = paired(tested, labels, 90)
+    assert sorted(map(tuple, pairs.collect())) == [(1, 2), (1, 4), (2, 4)]

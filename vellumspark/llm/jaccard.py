@@ -220,9 +220,10 @@ def similarity_classes(docs: DataFrame, words_each: int = 5, percent: int = 80)
 
     In the index each token's smallest member, its leader, is compared with the others, so a large group of near copies
     costs as many pairs as it has members. A member that was compared with its leader, not linked with it, and is not in the
-    leader's component by another way either is a stray. Members are alike to a stray only if some shingle sets both apart
+    leader's component by another way either is a stray. Where a leader's strays and members make fewer pairs than the shingles
+    that set them apart from it are, these pairs are taken. Elsewhere members are alike to a stray only if some shingle sets both apart
     from the leader; strays are joined on those, first with the smallest that has such a shingle, then across the components
-    that are left. Leaders without a stray have nothing to join. Members that didn't reach a
+    that are left. So no leader costs more than its members' prefixes. Leaders without a stray have nothing to join. Members that didn't reach a
     comparison with their leader meet the token's other members outside their component; of these pairs only those are compared
     whose tallies by hash slot, an upper bound on what is common, allow a link. So components are exact, without all pairs of
     a group.
@@ -257,20 +258,23 @@ def similarity_classes(docs: DataFrame, words_each: int = 5, percent: int = 80)
     links = keep(tested.where("linked").select("a", "b"), "links")
     labels = keep(components(links), "labels")
 
-    # strays first meet the smallest member that differs from their leader alike
-    strays, rest = apart(tested, labels)
+    # where all pairs of a leader's members are fewer than what sets these apart, the pairs are taken
+    pairs, many = paired(tested, labels, percent)
+    # the other strays first meet the smallest member that differs from their leader alike
+    strays, rest = apart(many, labels)
     least = [F.min(F.when(F.col("stray") == kind, F.struct("b", "n", "d", "pos"))).alias(f"lead{kind:d}") for kind in (True, False)]
     leads = strays.withColumn("stray", F.lit(True)).unionByName(rest.withColumn("stray", F.lit(False))).groupBy("a", "gram").agg(F.count("*").alias("k"), *least)
     leads = leads.where("k > 1 and lead1 is not null").select("a", "gram", F.explode(F.array_compact(F.array("lead1", "lead0"))).alias("lead"))
     led = strays.join(leads, ["a", "gram"]).select(F.col("lead.b").alias("c"), F.col("lead.n").alias("m"), F.col("lead.d").alias("e"), F.col("lead.pos").alias("at"), "b", "n", "d", "pos")
-    led = keep(led.where((F.col("b") != F.col("c")) & differ_alike(percent)).select(F.least("b", "c").alias("a"), F.greatest("b", "c").alias("b")).distinct(), "led")
+    led = led.where((F.col("b") != F.col("c")) & differ_alike(percent)).select(F.least("b", "c").alias("a"), F.greatest("b", "c").alias("b"))
+    led = keep(led.unionByName(pairs).distinct(), "led")
     near = compared(docs, plausible(docs, confirmed(led, nodes, percent), words_each, percent), words_each, percent)
     old, links = links, keep(links.unionByName(near.select("a", "b")), "links")
-    discard(strays, rest, led, near, old, labels)
+    discard(pairs, strays, rest, led, near, old, labels)
     labels = keep(components(links), "labels")
 
     # then all members in other components
-    strays, rest = apart(tested, labels)
+    strays, rest = apart(many, labels)
     other = strays.select("a", "gram", F.col("b").alias("c"), F.col("n").alias("m"), F.col("d").alias("e"), F.col("pos").alias("at"), F.col("of").alias("other"))
     near = strays.withColumn("stray", F.lit(True)).unionByName(rest.withColumn("stray", F.lit(False))).join(other, ["a", "gram"])
     near = near.where((F.col("of") != F.col("other")) & (~F.col("stray") | (F.col("b") < F.col("c"))) & differ_alike(percent))
@@ -292,7 +296,7 @@ def similarity_classes(docs: DataFrame, words_each: int = 5, percent: int = 80)
     late = open_.join(lone, "token").where((F.col("of") != F.col("other")) & (F.col("met") | (F.col("node") < F.col("c"))) & reach("n", "pos", "m", "at", percent))
     late = late.select(F.least("node", "c").alias("a"), F.greatest("node", "c").alias("b"))
     late = keep(late.unionByName(near).distinct(), "late")
-    discard(open_, strays, rest, tested, labels)
+    discard(open_, strays, rest, tested, many, labels)
     more = compared(docs, plausible(docs, confirmed(late, nodes, percent), words_each, percent), words_each, percent)
     discard(late)
     found = keep(components(links.unionByName(more.select("a", "b"))), "components")
@@ -321,15 +325,39 @@ def index(nodes: DataFrame) -> DataFrame:
     return rare.unionByName(often.join(F.broadcast(leads), "token")).where("members > 1").drop("members")
 
 
+def homes(tested: DataFrame, labels: DataFrame) -> DataFrame:
+    """tested with home, the component of the leader a, and of, that of the member b."""
+    named = lambda df, node, name: join_sifted(df, labels.select(F.col("node").alias(node), F.col("component").alias(name)), [node], "left").withColumn(name, F.coalesce(name, node))
+    return named(named(tested, "a", "home"), "b", "of")
+
+
+def paired(tested: DataFrame, labels: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """The pairs (a, b) of a leader's strays with its members in other components that may be alike, of the leaders where a pair of each
+    stray with each member is no more than the shingles listed in `apart`; and tested for the leaders where it is more.
+
+    So a leader's rows follow the square of its members only as far as that is the smaller figure.
+    """
+    placed = keep(homes(tested.select("a", "b", "n", "d", F.size("apart").alias("size")), labels), "members")
+    stray = F.col("of") != F.col("home")
+    by = placed.groupBy("a").agg(F.count("*").alias("k"), F.count_if(stray).alias("strays"), F.sum("size").alias("size")).where("k > 1 and strays > 0")
+    by = keep(by.select("a", (F.col("k") * F.col("strays") <= F.col("size")).alias("few")), "leaders")
+    held = keep(join_sifted(placed, by.where("few").select("a"), ["a"], "left_semi").withColumn("stray", stray).withColumn("pos", F.lit(0)), "members")
+    other = held.where("stray").select("a", F.col("b").alias("c"), F.col("n").alias("m"), F.col("d").alias("e"), F.col("pos").alias("at"), F.col("of").alias("other"))
+    met = held.join(other.hint("merge"), "a").where((F.col("of") != F.col("other")) & (~F.col("stray") | (F.col("b") < F.col("c"))))
+    met = met.where((F.least("n", "m") >= needed("n", "m", percent)) & differ_alike(percent))
+    pairs = keep(met.select(F.least("b", "c").alias("a"), F.greatest("b", "c").alias("b")).distinct(), "pairs")
+    many = keep(join_sifted(tested, by.where("not few").select("a"), ["a"], "left_semi"), "many")
+    discard(placed, by, held)
+    return pairs, many
+
+
 def apart(tested: DataFrame, labels: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Of leaders with a stray and another member, what sets members apart: (a, gram, b, n, d, pos, of) of the strays, and of the other members.
 
     tested: the pairs of a leader a and a member b; labels: components so far. A shingle is listed only if sieves say that a
     stray of the leader, and another member, may have it too.
     """
-    named = lambda df, node, name: join_sifted(df, labels.select(F.col("node").alias(node), F.col("component").alias(name)), [node], "left").withColumn(name, F.coalesce(name, node))
-    placed = named(named(tested.select("a", "b"), "a", "home"), "b", "of")
-    placed = keep(placed.distinct(), "placed")
+    placed = keep(homes(tested.select("a", "b"), labels).distinct(), "placed")
     asked = placed.groupBy("a").agg(F.count("*").alias("k"), F.max(F.col("of") != F.col("home")).alias("any")).where("k > 1 and any").select("a")
     placed, old = keep(join_sifted(placed, asked, ["a"], "left_semi"), "placed"), placed
     listed = join_sifted(tested.select("a", "b", "n", "d", "apart"), placed, ["a", "b"])
