@@ -59,3 +59,29 @@ def test_a_parse_hands_on_few_documents_at_a_time(spark):
     got = list(documents.parsed(batch, to_arrow_schema(spark.createDataFrame([], documents.SCHEMA).schema)))
     assert len(got) > 1 and max(map(len, got)) < 60
     assert [i for b in got for i in b.column("doc_id").to_pylist()] == list(range(60))
+
+
+def test_styles_are_worked_out_for_shapes(spark):
+    """A list of 300 links asks for hundreds of styles and has a handful of shapes; what selectors tell apart stays apart."""
+    from vellumspark.plans.compile import Corpus
+
+    items = "".join(f"<li><a href='/{i}'>x</a>" for i in range(300))
+    odd = "<li class=hot><a>y</a><li style='color: #00f'><a>z</a>"
+    docs = spark.createDataFrame([(1, "html", f"<ul>{items}{odd}</ul><p><a>w</a>"), (2, "html", f"<ul>{items}</ul>")], "doc_id long, kind string, source string")
+    c = Corpus(docs, ["li a { font-size: 50% } .hot { color: #f00 } .hot a { font-weight: 700 }"])
+    asked = {r["doc_id"]: r["n"] for r in c.requests.groupBy("doc_id").count().withColumnRenamed("count", "n").collect()}
+    assert asked[2] > 600 and c.shape_styles.where("doc_id = 2").count() < 10
+    runs = c.parsed.selectExpr("doc_id", "inline(chunks)").where("kind = 'run'").select("doc_id", "request", "text")
+    got = runs.join(c.computed, ["doc_id", "request"]).select("doc_id", "text", "font_size_px", "font_weight", "color").distinct().collect()
+    assert sorted(tuple(r) for r in got) == [
+        (1, "w", 16.0, 400, 0x000000FF), (1, "x", 8.0, 400, 0x000000FF), (1, "y", 8.0, 700, 0xFF0000FF), (1, "z", 8.0, 400, 0x0000FFFF), (2, "x", 8.0, 400, 0x000000FF),
+    ]
+
+
+def test_alike_requests_with_a_nan_keep_styles_of_their_own(spark):
+    """A NaN equals no other, so each item has its style, though all share a shape."""
+    from vellumspark.plans.compile import Corpus
+
+    c = Corpus(spark.createDataFrame([(1, "html", "<ul><li>a<li>b<li>c</ul>")], "doc_id long, kind string, source string"), ["li { line-height: nan }"])
+    items = c.chunks.where("kind = 'list_item'").select("style_id").collect()
+    assert len({r["style_id"] for r in items} - {0}) == 3
