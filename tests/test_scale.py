@@ -85,3 +85,19 @@ def test_alike_requests_with_a_nan_keep_styles_of_their_own(spark):
     c = Corpus(spark.createDataFrame([(1, "html", "<ul><li>a<li>b<li>c</ul>")], "doc_id long, kind string, source string"), ["li { line-height: nan }"])
     items = c.chunks.where("kind = 'list_item'").select("style_id").collect()
     assert len({r["style_id"] for r in items} - {0}) == 3
+
+
+def test_packages_are_handed_on_in_batches(spark):
+    """Small packages share a batch, many don't; rows are those of Arrow's own reading."""
+    import pyarrow as pa
+
+    from vellumspark.plans import packages
+
+    kind = pa.list_(pa.struct([("chunk_id", pa.int32()), ("kind", pa.string())]))
+    docs = [{"doc_id": 1, "title": "a", "chunks": [{"chunk_id": 1, "kind": "run"}, {"chunk_id": 2, "kind": None}]}, {"doc_id": None, "title": None, "chunks": None}, {"doc_id": 3, "title": "", "chunks": []}, {"doc_id": 4, "title": "d", "chunks": [{"chunk_id": 7, "kind": "br"}]}]
+    batch = pa.RecordBatch.from_pylist(docs, schema=pa.schema([("doc_id", pa.int64()), ("title", pa.string()), ("chunks", kind)]))
+    assert list(packages.documents_of(batch)) == docs
+    assert list(packages.documents_of(batch.slice(2))) == docs[2:]
+    schema = pa.schema([("k", pa.int64())])
+    sizes = [len(b) for b in packages.handed_on(iter([({"k": k}, packages.HELD // 10) for k in range(100)]), schema)]
+    assert sum(sizes) == 100 and 5 < len(sizes) < 20
