@@ -101,3 +101,60 @@ def test_packages_are_handed_on_in_batches(spark):
     schema = pa.schema([("k", pa.int64())])
     sizes = [len(b) for b in packages.handed_on(iter([({"k": k}, packages.HELD // 10) for k in range(100)]), schema)]
     assert sum(sizes) == 100 and 5 < len(sizes) < 20
+
+
+def test_a_written_table_leaves_no_shuffle_files(spark):
+    import glob
+
+    from vellumspark.sources import shared
+
+    folders = list(spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString())
+    files = lambda: {f for d in folders for f in glob.glob(f"{d}/*/shuffle_*")}
+    df = spark.range(10_000).selectExpr("id % 7 as k").groupBy("k").count()
+    setting = spark.conf.get(shared.FREED)
+    before = files()
+    t = shared.written(df, "counts")
+    assert not files() - before
+    assert t.count() == df.count() == 7
+    assert spark.conf.get(shared.FREED) == setting
+
+
+def test_steps_of_a_walk_go_as_it_goes_on(spark, monkeypatch):
+    """A chain of 60 chunks that is broken at its end takes six rounds; one round's table stands beside the next at most."""
+    import glob
+
+    from vellumspark.plans import chains
+    from vellumspark.sources import shared
+
+    folder = shared.shared_dir(spark).removeprefix("file://")
+    old, most = set(glob.glob(f"{folder}/*")), {}
+
+    def watched(df, name, *more):
+        out = shared.written(df, name, *more)
+        most[name] = max(most.get(name, 0), len(set(glob.glob(f"{folder}/{name}-*")) - old))
+        return out
+
+    monkeypatch.setattr(chains, "written", watched)
+    c = [(1, 0, 0, 0, 2, 60)] + [(i, 1, i - 1 if i > 2 else 0, i + 1, 0, 0) for i in range(2, 61)]
+    links = ["chunk_id", "parent_id", "prev_id", "next_id", "first_child_id", "last_child_id"]
+    schema = f"doc_id long, chunks array<struct<{', '.join(f'{x}: long' for x in links)}>>"
+    said = [r["message"] for r in chains.issues(spark.createDataFrame([(7, c)], schema)).collect()]
+    assert said == ["chunk 61 in wrong chain"]
+    assert most["steps"] <= 3 and most["chains"] <= 2  # the walk's steps and the chains' are two tables
+
+
+def test_packages_are_broken_without_being_written(spark, monkeypatch, tmp_path):
+    """Thirty copies of all packages would be thirty times their disk."""
+    from pyspark.sql import functions as F
+
+    from vellumspark.plans import queries as Q
+
+    spark.createDataFrame([(i, f"<title>{i}</title><body><ul><li><a href='/{i}'>{i}</a></ul><h1>{i}</h1><p>x") for i in range(4)], "page_id long, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    names, written = [], Q.written
+    monkeypatch.setattr(Q, "written", lambda df, name, *more: names.append(name) or written(df, name, *more))
+    monkeypatch.setattr(Q.packages, "validate", lambda _, rows: rows.select("doc_id", F.coalesce("error", F.lit("")).alias("section"), F.size("chunks").cast("string").alias("message")))
+    said = Q.broken_packages(spark, str(tmp_path)).collect()
+    assert names == ["packed", "sound"]
+    assert sorted({r["page_id"] for r in said}) == [0, 1, 2, 3] and len(said) == 4 * 30 == len({(r["page_id"], r["way"]) for r in said})
+    by = {r["way"]: (r["section"], r["message"]) for r in said}
+    assert by["no chunks"] == ("", "0") and by["depth"][1] != "0" and by["cut"][0] == "too_short" and by["magic"][0] == "bad_magic" and by["end"][0] == "out_of_bounds: section 7"
