@@ -158,3 +158,49 @@ def test_packages_are_broken_without_being_written(spark, monkeypatch, tmp_path)
     assert sorted({r["page_id"] for r in said}) == [0, 1, 2, 3] and len(said) == 4 * 30 == len({(r["page_id"], r["way"]) for r in said})
     by = {r["way"]: (r["section"], r["message"]) for r in said}
     assert by["no chunks"] == ("", "0") and by["depth"][1] != "0" and by["cut"][0] == "too_short" and by["magic"][0] == "bad_magic" and by["end"][0] == "out_of_bounds: section 7"
+
+
+def test_documents_that_are_alike_are_styled_once(spark, monkeypatch):
+    from vellumspark.plans import compile as C
+
+    pages = [
+        "<style>li { color: red }</style><ul><li>a</ul><p>b", "<style>li { color: red }</style><ul><li>c<li>d<li>e</ul><p>f<p>g", "<style>li { color: blue }</style><ul><li>a</ul><p>b",
+        "<style>li { color: red }</style><ul><li class=x>a</ul><p>b", "<style>li { color: red }</style><ul><li style='color: lime'>a</ul><p>b", "<style>li { color: red }</style><ul id=u><li>h</ul><p>b", "", None,
+    ]
+    docs = spark.createDataFrame([(i, "html", p) for i, p in enumerate(pages)], "doc_id long, kind string, source string")
+    counts, written = {}, C.written
+    monkeypatch.setattr(C, "written", lambda df, name, *more: (t := written(df, name, *more), counts.__setitem__(name, t.count()))[0])
+    sheet = ["#u li { font-size: 3px } .x { text-indent: 2em }"]
+    shared, single = C.Corpus(docs, sheet), C.Corpus(docs, sheet, keep=False)
+    rows = lambda c: sorted(map(str, c.shape_styles.collect()))
+    assert rows(shared) == rows(single) and shared.shape_styles.schema.simpleString() == single.shape_styles.schema.simpleString()
+    assert counts["few"] < counts["kinds"] and counts["few"] - 5 in (0, 1)  # an empty page may have shapes of its own
+
+
+def test_rows_are_read_some_documents_at_a_time(monkeypatch):
+    import pyarrow as pa
+
+    from vellumspark.plans import packages
+
+    inner = pa.struct([("a", pa.int64()), ("b", pa.list_(pa.struct([("c", pa.string())])))])
+    cells = [[{"a": 1, "b": [{"c": "x"}, None]}, None], None, [], [{"a": None, "b": None}] * 3, [{"a": 5, "b": []}]]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(7)), pa.array([[], [], *cells], pa.list_(inner))], ["doc_id", "rows"])
+    made = []
+    plain = packages.plain
+    monkeypatch.setattr(packages, "READ", 2)
+    monkeypatch.setattr(packages, "plain", lambda a: made.append(len(a)) or plain(a))
+    for b in (batch, batch.slice(2), batch.slice(3, 2), batch.slice(0, 0)):
+        assert list(packages.documents_of(b)) == b.to_pylist()
+    assert packages.plain(batch.column("rows")) == batch.column("rows").to_pylist()
+
+
+def test_a_style_sheet_that_documents_share_is_parsed_once(monkeypatch):
+    from vellumspark.sources import css, documents
+
+    asked, stylesheet = [], css.stylesheet
+    monkeypatch.setattr(css, "stylesheet", lambda text: asked.append(text) or stylesheet(text))
+    sheet, long = "p.only-here { color: red }", "p { color: red }" * documents.SHORT
+    made = [documents.compiled(i, "html", f"<style>{s}</style><p style='color: red'>{i}") for s in (sheet, long) for i in range(3)]
+    assert asked.count(sheet) == 1 and asked.count(long) == 3
+    assert made[0]["rules"] == made[1]["rules"] == made[2]["rules"] and len(made[3]["rules"]) == documents.SHORT
+    assert [r["error"] for r in (documents.compiled(1, "html", "<style>}</style>x") for _ in range(2))] == [documents.compiled(1, "html", "<style>}</style>x")["error"]] * 2
